@@ -45,7 +45,7 @@ BUILDING = "tower plaza building office campus business park industrial logistic
 FIRM = "capital partners property management real estate advisors asset investments holdings brokerage group leasing services development engineering associates national bank trust brothers insurance".split()
 LEGAL = "llc inc incorporated lp llp limited ltd gmbh corporation company plc ag sa and".split()
 # Short or other forms that leave letters out of order.
-OTHER_FORMS = {"centre": "center", "ctr": "center", "biz": "business", "ltd": "limited", "inc": "incorporated", "+": "and", "&": "and", "und": "and", "wh": "warehouse", "xing": "crossing", "techn": "technology", "sqr": "square", "hbr": "harbor", "harbour": "harbor", "trml": "terminal"}
+OTHER_FORMS = {"centre": "center", "ctr": "center", "biz": "business", "ltd": "limited", "inc": "incorporated", "+": "and", "&": "and", "und": "and", "wh": "warehouse", "xing": "crossing", "techn": "technology", "gp": "group", "sqr": "square", "hbr": "harbor", "harbour": "harbor", "trml": "terminal"}
 LONG_FORMS = tuple((re.compile(form), short) for form, short in ((r"limited liability co(?:mpany)?\b\.?", "llc"), (r"limited liability partnership", "llp"), (r"limited partnership", "lp"), (r"gesellschaft mit beschrankter haftung", "gmbh")))
 NUMBERS = {"i": 1, "ii": 2, "iii": 3, "iv": 4, "v": 5, "vi": 6, "vii": 7, "viii": 8, "ix": 9, "x": 10, "one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6}
 
@@ -289,16 +289,16 @@ def _verified(a: pa.Array, b: pa.Array) -> pa.Array:
 def star_clusters(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Star clustering of a weighted graph: node, centre.
 
-    ``nodes``: node, weight.  ``edges``: a, b (both directions are implied).  Of the nodes left, each that outranks all its
-    neighbours (by weight, then node) becomes a centre and takes its neighbours; a neighbour of several centres goes to the
-    highest.  Rounds go on until no node is left; nodes without edges are their own centres.
+    ``nodes``: node, weight.  ``edges``: a, b, each pair once (both directions are implied).  Of the nodes left, each that
+    outranks all its neighbours (by number of neighbours, then weight, then node) becomes a centre and takes its neighbours;
+    a neighbour of several centres goes to the highest.  Rounds go on until no node is left; nodes without edges are their
+    own centres.
     """
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    rank = F.struct("weight", "node")
-    touched = both.select(F.col("a").alias("node")).distinct()
-    done = nodes.join(touched, "node", "left_anti").select("node", F.col("node").alias("centre"))
-    left = durable(nodes.join(touched, "node", "left_semi").select("node", rank.alias("rank")), "nodes")
-    links = durable(both, "links")
+    links = durable(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
+    degrees = links.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("degree"))
+    ranked = durable(nodes.join(degrees, "node", "left"), "nodes")
+    done = ranked.where("degree IS NULL").select("node", F.col("node").alias("centre"))
+    left = ranked.where("degree IS NOT NULL").select("node", F.struct("degree", "weight", "node").alias("rank"))
     while not left.isEmpty():
         ranks = left.select(F.col("node").alias("b"), F.col("rank").alias("rank_b"))
         open_links = links.join(left.withColumnRenamed("node", "a"), "a").join(ranks, "b")
