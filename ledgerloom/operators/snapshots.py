@@ -18,21 +18,22 @@ from ledgerloom.catalog import require
 from ledgerloom.functions.unicode import nfc
 
 
-def with_neighbours(versions: DataFrame, series: Sequence[str], version: str) -> DataFrame:
+def with_neighbours(versions: DataFrame, series: Sequence[str], version: str, pick: Sequence[str] = ()) -> DataFrame:
     """Each version of a series once, with the version before (``_previous``) and after (``_next``), null at the ends."""
     w = Window.partitionBy(*series).orderBy(version)
     return (
-        versions.select(*series, version).distinct()
+        versions.select(*series, version, *pick).dropDuplicates([*series, version])
         .withColumn("_previous", F.lag(version).over(w))
         .withColumn("_next", F.lead(version).over(w))
     )
 
 
-def snapshot_changes(records: DataFrame, versions: DataFrame, series: Sequence[str], version: str, key: Sequence[str], compare: Sequence[str]) -> DataFrame:
+def snapshot_changes(records: DataFrame, versions: DataFrame, series: Sequence[str], version: str, key: Sequence[str], compare: Sequence[str], pick: Sequence[str] = ()) -> DataFrame:
     """Changes from each snapshot of a series to the next.
 
     ``records`` holds the rows of all snapshots, ``versions`` says which (series, version) were delivered (a snapshot
-    without rows is one too; rows of other versions are ignored).  The result has ``series``, ``version`` (the later
+    without rows is one too; rows of other versions are ignored).  ``pick`` names columns of both that must agree as well:
+    of a version delivered several times, the delivery that stands for it.  The result has ``series``, ``version`` (the later
     one), ``key``, ``change_kind`` (added, removed, changed) and structs ``before`` and ``after`` of ``compare``.
 
     * The first snapshot of a series has no changes.  Empty inputs give an empty result.
@@ -40,11 +41,11 @@ def snapshot_changes(records: DataFrame, versions: DataFrame, series: Sequence[s
     * Rows count as often as they occur.  If several rows of one key are left on a side, they are paired in the order of
       their compared values, and what has no partner was added or removed.
     """
-    require(records, *series, version, *key, *compare)
-    order = with_neighbours(versions, series, version)
+    require(records, *series, version, *key, *compare, *pick)
+    order = with_neighbours(versions, series, version, pick)
     values = F.struct(*[F.col(f"`{c}`") for c in compare])
-    rows = records.select(*series, version, *key, values.alias("_value"))
-    both = rows.join(order, [*series, version]).select(
+    rows = records.select(*series, version, *pick, *key, values.alias("_value"))
+    both = rows.join(order, [*series, version, *pick]).select(
         *series, *key, "_value",
         F.explode(F.array(
             F.struct(F.when(F.col("_previous").isNotNull(), F.col(version)).alias("at"), F.lit(1).alias("sign")),
@@ -110,5 +111,5 @@ def file_changes(file_states: DataFrame, source_sweeps: DataFrame) -> DataFrame:
         .groupBy("source_id", "sweep_no", "delivery_no", "path").agg(F.max("_hash").alias("hash"))
     )
     usable = usable_sweeps(listing, source_sweeps)
-    files = listing.where("hash IS NOT NULL").join(usable, ["source_id", "sweep_no", "delivery_no"], "left_semi")
-    return snapshot_changes(files, usable, ["source_id"], "sweep_no", ["path"], ["hash"]).select("source_id", "sweep_no", "path", "change_kind")
+    changes = snapshot_changes(listing.where("hash IS NOT NULL"), usable, ["source_id"], "sweep_no", ["path"], ["hash"], pick=["delivery_no"])
+    return changes.select("source_id", "sweep_no", "path", "change_kind")
