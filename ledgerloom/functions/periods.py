@@ -6,7 +6,7 @@ its date does not exist (such a date is refused, it does not fall through to a l
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # English month names and their short forms, January first.
@@ -75,20 +75,20 @@ def unparseable_key(folded: Column) -> Column:
     return F.concat(F.lit("undated:"), F.when(F.length(folded) <= 64, folded).otherwise(F.concat(F.substring(folded, 1, 64), F.lit("#"), digest)))
 
 
-def period_key(text: Column, folded: Column) -> Column:
-    """The period of a text: its first stated one, a whole text that is a year, 'undated' if blank, else an unparseable key.
+def with_period_key(rows: DataFrame, text: str, folded: str, out: str) -> DataFrame:
+    """Adds the period key of a text: its first stated one, a whole text that is a year, 'undated' if blank, else an
+    unparseable key.  ``folded`` names the column with entity_fold of the text.
 
-    ``folded`` is entity_fold of the text, passed in so that it is computed once.
+    Each notation's match and the rest it leaves are columns of their own, so that no pattern runs twice on a row.
     """
-    plain = F.trim(F.coalesce(text, F.lit("")))
-    return (
-        F.when(plain == "", "undated")
-        .otherwise(F.coalesce(
-            F.try_element_at(stated_periods(plain, bare_years=False), F.lit(1)),
-            F.when(plain.rlike(r"^(19|20)\d{2}$"), plain),
-            unparseable_key(folded),
-        ))
-    )
+    steps = rows.withColumn("_rest0", F.trim(F.coalesce(F.col(text), F.lit(""))))
+    for i, (pattern, groups) in enumerate(NOTATIONS):
+        rest = F.col(f"_rest{i}")
+        keys = F.filter(F.transform(F.regexp_extract_all(rest, F.lit(pattern), F.lit(0)), _keyed(pattern, groups)), lambda k: k.isNotNull())
+        steps = steps.withColumn(f"_key{i}", F.try_element_at(keys, F.lit(1))).withColumn(f"_rest{i + 1}", F.regexp_replace(rest, pattern, "~"))
+    plain = F.col("_rest0")
+    key = F.when(plain == "", "undated").otherwise(F.coalesce(*[F.col(f"_key{i}") for i in range(len(NOTATIONS))], F.when(plain.rlike(r"^(19|20)\d{2}$"), plain), unparseable_key(F.col(folded))))
+    return steps.withColumn(out, key).drop(*[f"_key{i}" for i in range(len(NOTATIONS))], *[f"_rest{i}" for i in range(len(NOTATIONS) + 1)])
 
 
 def period_granularity(key: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.catalog import require
-from ledgerloom.functions.periods import period_key, real_date
+from ledgerloom.functions.periods import real_date, with_period_key
 from ledgerloom.functions.text import alias_key, entity_fold
 
 #: Amounts beyond this are not faithfully a double; they are skipped, not compared.
@@ -35,7 +35,7 @@ def ledger_facts(facts: DataFrame, measures: DataFrame) -> DataFrame:
     newest = Window.partitionBy("fact_id").orderBy(F.col("ingested_at").desc_nulls_last())
     once = facts.withColumn("_n", F.row_number().over(newest)).where("_n = 1").drop("_n")
     folded = once.withColumn("entity_key", entity_fold(F.coalesce("entity", "entity_quote"))).withColumn("_period_fold", entity_fold(F.col("period_text")))
-    keyed = folded.withColumn("period_key", period_key(F.col("period_text"), F.col("_period_fold"))).withColumn("_alias", alias_key(F.col("metric")))
+    keyed = with_period_key(folded, "period_text", "_period_fold", "period_key").withColumn("_alias", alias_key(F.col("metric")))
     units = measure_units(measures).select(F.col("slug").alias("_slug"), F.col("unit").alias("_unit"), "factor")
     kinds = measures.select(F.col("slug").alias("metric_slug"), "tolerance_kind", "tolerance").dropDuplicates(["metric_slug"])
     named = keyed.join(measure_aliases(measures).select(F.col("alias").alias("_alias"), F.col("slug").alias("metric_slug")), "_alias", "left")
