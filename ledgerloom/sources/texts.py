@@ -14,6 +14,9 @@ _HEADING = re.compile(r"(#{1,6}) (.*)")
 HTML_BYTES, HTML_ELEMENTS, HTML_DEPTH = 32 * 1024 * 1024, 150_000, 60_000
 DROPPED = frozenset("script style template noscript iframe object embed head textarea title xmp noembed noframes plaintext".split())
 BLOCKS = frozenset("p div section article header footer main aside blockquote pre li dt dd figcaption caption address h1 h2 h3 h4 h5 h6 td th tr".split())
+#: Tags whose start ends an open one of these, up to the next enclosing list or table.
+ENDS = {"td": ("td", "th"), "th": ("td", "th"), "tr": ("tr",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "p": ("p",)}
+ENCLOSING = frozenset("table ul ol dl".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = ("script", "style", "textarea", "title", "xmp", "noembed", "noframes", "iframe")
 
@@ -65,6 +68,12 @@ class _Walker(HTMLParser):
             self.buffer.append("\n")
         if tag in VOID:
             return
+        for i in range(len(self.open) - 1, -1, -1):
+            if self.open[i][0] in ENDS.get(tag, ()):
+                self.handle_endtag(self.open[i][0])
+                break
+            if self.open[i][0] in ENCLOSING or tag not in ENDS:
+                break
         if len(self.open) >= HTML_DEPTH:
             raise Malformed("nesting is too deep")
         if not self.dropping and not drops and (tag in BLOCKS or tag == "table"):
@@ -85,17 +94,17 @@ class _Walker(HTMLParser):
         at = next((i for i in range(len(self.open) - 1, -1, -1) if self.open[i][0] == tag), None)
         if at is None:
             return
-        closed = self.open[at:]
-        del self.open[at:]
-        was = self.dropping
-        self.dropping -= sum(d for _, d in closed)
-        if was:
-            return
-        if tag in BLOCKS:
-            self._flush(tag)
-        elif tag == "table" and self.tables:
-            self._flush(None)
-            self._end_table(self.tables.pop())
+        while len(self.open) > at:  # what is still open inside ends with it
+            inner, drops = self.open.pop()
+            was = self.dropping
+            self.dropping -= drops
+            if was:
+                continue
+            if inner in BLOCKS:
+                self._flush(inner)
+            elif inner == "table" and self.tables:
+                self._flush(None)
+                self._end_table(self.tables.pop())
 
     def handle_data(self, data: str) -> None:
         if not self.dropping:
