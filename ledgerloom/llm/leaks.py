@@ -29,7 +29,6 @@ LEAST_WORDS = 15
 STRIDE = 5  # words between window starts in documents; 15 words of four letters hold at least one whole window
 STEPS = 60  # of the walk; the pointer moves every other step on average, so a window reaches over 30 letters
 TABLES, SAMPLED = 6, 9  # recall of a window with one misread letter: about 1 - (1 - 0.4)^6 = 0.95, more with several windows
-AROUND, AGREED = 60, 42  # letters compared on each side of a candidate's start, and how many of them must agree
 BLOCK = 5000  # items per pass over the documents
 CHUNK = 4_000_000  # letters that are embedded at once
 
@@ -103,7 +102,7 @@ class Passages:
         self.ids = [i for i, _ in items]
         self.words: list[list[bytes]] = []
         self.counted: list[list[int]] = []  # words of the item, as white space separates them, before each plain word
-        owners, places, hashes, streams, places_in, length = [], [], [], [], [], 0
+        owners, places, hashes = [], [], []
         for n, (_, text) in enumerate(items):
             words, counted = [], []
             for i, raw in enumerate(text.split()):
@@ -117,13 +116,8 @@ class Passages:
                 hashes.append(embed(letters, starts))
                 owners.append(np.full(len(words), n))
                 places.append(np.arange(len(words)))
-                streams.append(np.concatenate([np.zeros(AROUND, np.uint8), letters[: len(letters) - STEPS]]))
-                places_in.append(starts + AROUND + length)
-                length += len(streams[-1])
         self.owner = np.concatenate(owners) if owners else np.zeros(0, np.int64)
         self.place = np.concatenate(places) if places else np.zeros(0, np.int64)
-        self.letters = np.concatenate([*streams, np.zeros(AROUND, np.uint8)])
-        self.letter = np.concatenate(places_in) if places_in else np.zeros(0, np.int64)
         every = np.concatenate(hashes, axis=1) if hashes else np.zeros((TABLES, 0), np.uint32)
         self.order = np.argsort(every, axis=1, kind="stable")
         self.sorted = np.take_along_axis(every, self.order, axis=1)
@@ -131,11 +125,11 @@ class Passages:
         for k in range(TABLES):
             self.maybe[k, (every[k] & np.uint32(self.MASK)).astype(np.int64)] = True
 
-    def candidates(self, hashes: np.ndarray, stream: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(window, item, word of the item) of windows that share a bucket and agree in enough letters around.
+    def candidates(self, hashes: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(window, item, word of the item) of windows that share a bucket, in the order of the windows.
 
-        A run of the wanted length agrees in at least twice the letters of a window; windows that merely share a phrase
-        do not, and are dropped before words are compared.
+        None is dropped here: whether the words around agree is for shared_run to say, which allows letters to be lost or
+        added.  It ends at the first word that differs, so that a chance match costs one comparison of words.
         """
         pairs = []
         for k in range(TABLES):
@@ -145,16 +139,9 @@ class Passages:
             at = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())
             pairs.append(np.repeat(w, n) * len(self.owner) + self.order[k][at])
         pairs = np.unique(np.concatenate(pairs))
-        w, at = pairs // max(1, len(self.owner)), pairs % max(1, len(self.owner))
-        keep = []
-        for begin in range(0, len(w), _AT_ONCE):
-            here, there = starts[w[begin : begin + _AT_ONCE]], self.letter[at[begin : begin + _AT_ONCE]]
-            equal = np.zeros(len(here), dtype=np.int16)
-            for o in range(-AROUND, AROUND):
-                equal += stream.take(here + o, mode="clip") == self.letters.take(there + o, mode="clip")
-            keep.append(equal >= AGREED)
-        kept = np.concatenate(keep) if keep else np.zeros(0, bool)
-        return w[kept], self.owner[at[kept]], self.place[at[kept]]
+        for begin in range(0, len(pairs), _AT_ONCE):
+            w, at = np.divmod(pairs[begin : begin + _AT_ONCE], len(self.owner))
+            yield from zip(w.tolist(), self.owner[at].tolist(), self.place[at].tolist())
 
 
 def agrees(item: bytes, seen: bytes) -> bool:
@@ -235,7 +222,7 @@ def find_in(texts: list[tuple[int, str | None]], passages: Passages, least: int)
             number = np.arange(len(flat)) - np.repeat(offsets, counts)
             windows = np.flatnonzero(number % STRIDE == 0)
             best: dict[tuple[int, int], tuple[int, int, int]] = {}
-            for w, n, i in zip(*map(np.ndarray.tolist, passages.candidates(embed(stream, starts[windows]), stream, starts[windows]))):
+            for w, n, i in passages.candidates(embed(stream, starts[windows])):
                 d = int(np.searchsorted(offsets, windows[w], "right")) - 1
                 while counts[d] == 0:
                     d -= 1

@@ -114,6 +114,21 @@ def test_leaks_in_other_dress(text, n):
     assert [r[2] for r in find_in([(1, text)], Passages([(7, ITEM)]), 15)] == ([n] if n else [])
 
 
+def test_leaks_of_the_least_length_with_lost_and_added_letters():
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abcdefghijklmnoprstuvwz") for _ in range(rng.randint(4, 9))) for _ in range(2000)]
+    items = [(n, " ".join(rng.sample(words, 40))) for n in range(20)]
+    texts = []
+    for n in range(400):
+        at, run = rng.randint(0, 25), items[n % 20][1].split()
+        run = run[at : at + 15]
+        for k in rng.sample([k for k in range(3, 12) if len(run[k]) >= 5], 2):
+            run[k] = run[k][:2] + run[k][3:] if n % 2 else run[k][:3] + "x" + run[k][3:]
+        texts.append((n, " ".join(rng.sample(words, 40 + n % 5) + run + rng.sample(words, 40))))
+    found = {r[:2] for r in find_in(texts, Passages(items), 15)}
+    assert len(found & {(n, n % 20) for n in range(400)}) >= 0.9 * 400
+
+
 def test_leaks_in_spark(spark):
     d = spark.createDataFrame([(1, "a " * 5000 + ITEM), (1, "a " * 5000 + ITEM), (2, None), (3, "")], "doc_id bigint, text string").selectExpr("*", "0 AS n_words", "0 AS item_id")
     i = spark.createDataFrame([(7, ITEM), (7, ITEM), (8, None), (9, "")], "item_id bigint, text string")
