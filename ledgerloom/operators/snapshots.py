@@ -80,6 +80,19 @@ def canonical_hash(digest: Column) -> Column:
     return F.coalesce(F.regexp_replace(F.lower(F.trim(digest)), r"^(?:sha-?256:|0x)", ""), F.lit(""))
 
 
+def delivered_listing(file_states: DataFrame) -> DataFrame:
+    """One row per (source_id, sweep_no, delivery_no, path) with the highest hash of its live entries, null if none is live.
+
+    Entries without a path are no files.
+    """
+    live = F.col("withdrawn_at").isNull()
+    return (
+        file_states.where("path IS NOT NULL AND trim(path) <> ''")
+        .select("source_id", "sweep_no", "delivery_no", canonical_path(F.col("path")).alias("path"), F.when(live, canonical_hash(F.col("sha256"))).alias("_hash"))
+        .groupBy("source_id", "sweep_no", "delivery_no", "path").agg(F.max("_hash").alias("hash"))
+    )
+
+
 def usable_sweeps(listing: DataFrame, source_sweeps: DataFrame) -> DataFrame:
     """Of each sweep the highest complete delivery: it lists as many distinct paths as its ``file_count`` says.
 
@@ -104,12 +117,7 @@ def file_changes(file_states: DataFrame, source_sweeps: DataFrame) -> DataFrame:
     """
     require(file_states, "source_id", "sweep_no", "delivery_no", "path", "sha256", "withdrawn_at")
     require(source_sweeps, "source_id", "sweep_no", "delivery_no", "file_count")
-    live = F.col("withdrawn_at").isNull()
-    listing = (
-        file_states.where("path IS NOT NULL AND trim(path) <> ''")
-        .select("source_id", "sweep_no", "delivery_no", canonical_path(F.col("path")).alias("path"), F.when(live, canonical_hash(F.col("sha256"))).alias("_hash"))
-        .groupBy("source_id", "sweep_no", "delivery_no", "path").agg(F.max("_hash").alias("hash"))
-    )
+    listing = delivered_listing(file_states)
     usable = usable_sweeps(listing, source_sweeps)
     changes = snapshot_changes(listing.where("hash IS NOT NULL"), usable, ["source_id"], "sweep_no", ["path"], ["hash"], pick=["delivery_no"])
     return changes.select("source_id", "sweep_no", "path", "change_kind")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.operators.snapshots import canonical_hash, canonical_path
+from ledgerloom.catalog import table
+from ledgerloom.operators.snapshots import canonical_hash, canonical_path, delivered_listing, usable_sweeps
 from ledgerloom.streaming.operators import daily_sums, first_sightings, follow_files, quarter_hour_counts
 from ledgerloom.streaming.tables import run_to_table, table_stream
 
@@ -26,8 +27,12 @@ def sliding_counts_stream(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def file_changes_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """Changes of each file entry by entry, kept in state."""
-    e = table_stream(spark, folder, "file_states").where("delivery_no = 1")
+    """Changes of each file entry by entry, kept in state.
+
+    All deliveries are fed; of each sweep the highest complete one counts, and sweeps without one are passed over.
+    """
+    usable = usable_sweeps(delivered_listing(table(spark, folder, "file_states")), table(spark, folder, "source_sweeps"))
+    e = table_stream(spark, folder, "file_states").where("path IS NOT NULL AND trim(path) <> ''").join(usable, ["source_id", "sweep_no", "delivery_no"])
     entries = e.select("source_id", canonical_path(F.col("path")).alias("path"), "sweep_no", canonical_hash(F.col("sha256")).alias("hash"), F.col("withdrawn_at").isNotNull().alias("withdrawn"))
     return run_to_table(follow_files(entries), "append").groupBy("source_id", "change_kind").agg(F.count("*").alias("n"))
 
