@@ -206,17 +206,32 @@ def fit_on(documents: DataFrame) -> Centroids:
     return fit(sample_sentences(documents))
 
 
+def _beside_tables(text: str, a: int, b: int) -> Iterator[tuple[int, int, bool]]:
+    """(start, end, whether it is a table) of the parts of a piece: rows of a table (lines with a '|') and what is between."""
+    begin, of_table, at = a, None, a
+    for line in text[a:b].splitlines(keepends=True):
+        row = "|" in line
+        if of_table is not None and row != of_table and (row or line.strip()):
+            yield begin, at, of_table
+            begin, of_table = at, row
+        elif of_table is None and line.strip():
+            of_table = row
+        at += len(line)
+    yield begin, b, bool(of_table)
+
+
 def classified(text: str, classify) -> Iterator[tuple[int, int, str | None, float, bool]]:
-    """(start, end, language, confidence, whole sentence) of the sentences of a text."""
+    """(start, end, language, confidence, whole sentence) of the sentences of a text; rows of tables are in no language."""
     table = "|" in text
     for a, b in sentences(text):
-        piece = text[a:b]
-        words = content(piece)
-        if words.count(" ") + 1 >= WHOLE_WORDS and not (table and "|" in piece):
-            language, sure = classify(words)
-            yield a, b, language, sure, language is not None and piece.rstrip(_CLOSING)[-1:] in ".!?…"
-        else:
-            yield a, b, None, 0.0, False
+        for c, d, row in _beside_tables(text, a, b) if table and "|" in text[a:b] else ((a, b, False),):
+            piece = text[c:d]
+            words = "" if row else content(piece)
+            if words.count(" ") + 1 >= WHOLE_WORDS:
+                language, sure = classify(words)
+                yield c, d, language, sure, language is not None and piece.rstrip(_CLOSING)[-1:] in ".!?…"
+            else:
+                yield c, d, None, 0.0, False
 
 
 def read_stretches(text: str, classify) -> list[tuple[int, int, str | None, float, int]]:

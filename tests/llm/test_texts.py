@@ -153,6 +153,14 @@ def test_languages():
     assert len(sentences("Acme Inc. sold it. Am 5. Mai kam er. Next.")) == 3 and sentences("") == [] and list(classified("", m.classify)) == []
 
 
+def test_the_sentence_after_a_table_is_read():
+    m = fit({k: v * 5 for k, v in SENTENCES.items()})
+    german, english = "Der Mieter zahlt seinen Anteil an den Steuern und an der Versicherung.", "The tenant pays its share of the taxes and of the insurance."
+    text = f"{german}\n\n| item | the rent of it |\n|---|---|\n| of the roof | 34 |\n{english}\n| a | b |\n"
+    got = read_stretches(text, m.classify)
+    assert [(s[2], s[4]) for s in got] == [("de", 1), ("en", 1)] and got[1][0] == text.index(english) and got[0][1] == got[1][0] and got[-1][1] == len(text)
+
+
 def test_languages_in_spark(spark):
     rows = [(i, ". ".join(s.capitalize() for s in v) + ".", k) for i, (k, v) in enumerate(sorted(SENTENCES.items()) * 6)]
     rows += [(100, rows[0][1], "en-GB"), (101, rows[1][1], None), (102, None, "de"), (103, "", "n/a"), (104, rows[0][1], "Deutsch")]
