@@ -2,8 +2,9 @@
 
 Sentences are classified by nearest centroids: TF-IDF vectors of letter n-grams, normalised, are compared by cosine with
 several centroids per language; what is near none is in no language.  The centroids are fitted on a bounded sample of
-labelled documents, whose wrong labels are cleaned first: a sentence stays only if the mean of its label's sentences is its
-nearest mean.  Names, figures and tables are set aside before, since they are in no language.
+labelled documents, whose wrong labels are cleaned first: a sentence stays only if it is clearly more common under its label
+than under any other, and not clearly nearer to the mean of another label.  The fit is checked on its own sentences, and gets
+further centroids where they are read wrongly.  Names, figures and tables are set aside before, since they are in no language.
 
 The documents are read once and never shuffled; repeated sentences cost a dictionary look-up.
 """
@@ -18,16 +19,17 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.catalog import require
 
 LANGUAGES = ("de", "en", "es", "fr", "nl", "pt")
-#: The classifier is fitted on at most so many labelled documents of each language, and so many sentences of each.
-SAMPLE_DOCUMENTS, SAMPLE_SENTENCES = 400, 3000
-CENTROIDS = 24  # per language
+#: The classifier is fitted on about so many labelled documents of each language, and on so many different sentences of each.
+SAMPLE_DOCUMENTS, SAMPLE_SENTENCES = 1000, 4000
+CENTROIDS, MOST_CENTROIDS = 24, 64  # per language: at first, and at most
+CLEAR, SLACK, LEAD = 3.0, 0.08, 0.05  # see fit
 BITS = 14
 DIMENSIONS = 1 << BITS
 _SPREAD = np.uint32(0x9E3779B1)
@@ -140,63 +142,99 @@ def _dense(texts: list[str], idf: np.ndarray) -> np.ndarray:
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
 
-def fit(samples: dict[str, list[str]], centroids: int = CENTROIDS, seed: int = 10) -> Centroids:
-    """Fits the classifier on the contents of sentences by label; wrong labels are dropped on the way.
+def _unit(rows: np.ndarray) -> np.ndarray:
+    return rows / np.maximum(np.linalg.norm(rows, axis=-1, keepdims=True), 1e-9)
 
-    A sentence seen under several labels belongs to the one it makes up the largest share of.  Of the sentences seen once
-    or twice those are dropped that are clearly nearer to another label's mean than to their own.
+
+def _spread(rows: np.ndarray, weight: np.ndarray, most: int) -> np.ndarray:
+    """Rows that lie far from each other, the heavy ones first: seeds of clusters."""
+    nearest, picked = np.zeros(len(rows), dtype=np.float32), []
+    for _ in range(most):
+        i = int((score := weight * (1 - nearest)).argmax())
+        if score[i] <= 1e-6:
+            break
+        picked.append(i)
+        nearest = np.maximum(nearest, rows @ rows[i])
+    return rows[picked]
+
+
+def _settle(rows: np.ndarray, weight: np.ndarray, middle: np.ndarray, rounds: int) -> np.ndarray:
+    """Weighted k-means by cosine from the given centres; a centre nothing is near stays where it is."""
+    for _ in range(rounds):
+        near = (rows @ middle.T).argmax(axis=1)
+        middle = _unit(np.stack([weight[own] @ rows[own] if (own := near == i).any() else middle[i] for i in range(len(middle))]))
+    return middle
+
+
+def _clean(data: dict[str, np.ndarray], weight: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
+    """Without the sentences that are clearly nearer to another label's mean than to their own."""
+    for _ in range(4):
+        means = {k: _unit(weight[k] @ v) for k, v in data.items() if len(v)}
+        others = {k: np.stack([m for j, m in means.items() if j != k]) for k in means} if len(means) > 1 else {}
+        stays = {k: data[k] @ means[k] + SLACK >= (data[k] @ others[k].T).max(axis=1) for k in others}
+        data, weight = {k: v[stays[k]] if k in stays else v for k, v in data.items()}, {k: w[stays[k]] if k in stays else w for k, w in weight.items()}
+    return {k: v for k, v in data.items() if len(v)}, weight
+
+
+def fit(samples: dict[str, Counter]) -> Centroids:
+    """Fits the classifier on the contents of sentences by label, counted by documents; wrong labels are dropped on the way.
+
+    A sentence belongs to the label under which it is CLEAR times as common as under any other; without such a label it is
+    left out.  Seeds lie far apart, common sentences first.  Then the fit is checked on its own sentences: where one is not
+    nearer to its own language than to any other by LEAD, its language gets further centroids, until none is or no more help.
     """
-    counts = {k: Counter(v) for k, v in samples.items() if v}
-    if not counts:
-        return Centroids(np.ones(DIMENSIONS), np.zeros((0, DIMENSIONS)), [])
+    counts = {k: c for k, c in sorted(samples.items()) if c}
     share = {k: 1 / c.total() for k, c in counts.items()}
-    texts = {k: sorted(t for t in c if all(c[t] * share[k] > o[t] * share[j] or (c[t] * share[k] == o[t] * share[j] and k <= j) for j, o in counts.items())) for k, c in counts.items()}
+    texts = {k: sorted(t for t in c if all(j == k or c[t] * share[k] >= CLEAR * o[t] * share[j] for j, o in counts.items())) for k, c in counts.items()}
+    texts = {k: v for k, v in texts.items() if v}
+    if not texts:
+        return Centroids(np.ones(DIMENSIONS), np.zeros((0, DIMENSIONS)), [])
     frequency = np.zeros(DIMENSIONS)
     for own in texts.values():
         for t in own:
             frequency[vector(t)[0]] += 1
     idf = np.log((1 + sum(map(len, texts.values()))) / (1 + frequency)) + 0.1
-    data = {k: _dense(v, idf) for k, v in sorted(texts.items()) if v}
-    uses = {k: np.array([counts[k][t] for t in texts[k]], dtype=np.float32) for k in data}
-    for _ in range(4):
-        means = {k: uses[k] @ v for k, v in data.items() if len(v)}
-        stack = np.stack([m / max(np.linalg.norm(m), 1e-9) for m in means.values()])
-        names = list(means)
-        near = {k: v @ stack.T for k, v in data.items() if k in means}
-        stays = {k: (near[k][:, names.index(k)] + 0.08 >= near[k].max(axis=1)) | (uses[k] > 2) for k in near}
-        data, uses = {k: data[k][s] for k, s in stays.items()}, {k: uses[k][s] for k, s in stays.items()}
-    rng = np.random.default_rng(seed)
-    centres, languages = [], []
-    for code, rows in data.items():
-        if not len(rows):
-            continue
-        k = min(centroids, len(rows))
-        middle = rows[rng.choice(len(rows), k, replace=False)]
-        for _ in range(12):
-            near = (rows @ middle.T).argmax(axis=1)
-            middle = np.stack([rows[near == i].mean(axis=0) if (near == i).any() else middle[i] for i in range(k)])
-            middle /= np.maximum(np.linalg.norm(middle, axis=1, keepdims=True), 1e-9)
-        centres.append(middle)
-        languages += [code] * k
-    return Centroids(idf, np.concatenate(centres), languages)
-
-
-def sample_sentences(documents: DataFrame) -> dict[str, list[str]]:
-    """Sentences of at most SAMPLE_DOCUMENTS documents per language whose label names just that language."""
+    data, weight = _clean({k: _dense(v, idf) for k, v in texts.items()}, {k: np.log1p(np.array([counts[k][t] for t in v], dtype=np.float32)) for k, v in texts.items()})
+    centres = {k: _settle(v, weight[k], _spread(v, weight[k], CENTROIDS), 8) for k, v in data.items()}
+    misread = None
+    while len(centres) > 1:
+        near = {k: {j: (v @ m.T).max(axis=1) for j, m in centres.items()} for k, v in data.items()}
+        short = {k: np.flatnonzero(near[k][k] - np.max([near[k][j] for j in centres if j != k], axis=0) < LEAD) for k in centres}
+        left = sum(map(len, short.values()))
+        if not left or (misread is not None and left >= misread):
+            break
+        misread = left
+        for k, s in short.items():
+            if more := min(8, MOST_CENTROIDS - len(centres[k]), len(s)):
+                centres[k] = _settle(data[k], weight[k], np.concatenate([centres[k], _spread(data[k][s], weight[k][s], more)]), 3)
+    return Centroids(idf, np.concatenate(list(centres.values())), [k for k, m in centres.items() for _ in range(len(m))])
+
+
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _contents(texts: pa.Array) -> pa.Array:
+    """The different contents of the sentences of a text that are long enough to tell a language."""
+    found = [sorted({w for a, b in sentences(t) if (w := content(t[a:b])).count(" ") >= WHOLE_WORDS and "|" not in w}) for t in texts.to_pylist()]
+    return pa.array(found, pa.list_(pa.string()))
+
+
+def sample_sentences(documents: DataFrame, n_documents: int = SAMPLE_DOCUMENTS, n_sentences: int = SAMPLE_SENTENCES, salt: int = 0) -> dict[str, Counter]:
+    """How many documents of a bounded sample have each sentence, by the language their label names.
+
+    About ``n_documents`` documents per language whose label names just that language; which ones follows from hashes of
+    their ids and the salt.  They are read whole.  Of their different sentences the ``n_sentences`` in most documents are
+    kept per language, of equally common ones those with the smaller hash.
+    """
     named = documents.where("text IS NOT NULL").select("doc_id", "text", label_languages(F.col("lang")).alias("_named")).where("size(_named) = 1")
-    share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
-    # Which documents are sampled follows from their ids; per language the smallest hashes, merged from bounded lists.
-    top = named.select(F.col("_named")[0].alias("code"), "text", share.alias("h"), "doc_id")
-    counts = {r.code: r.n for r in top.groupBy("code").agg(F.count("*").alias("n")).collect()}  # one row per language
-    limit = F.try_element_at(F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, int(min(1.0, SAMPLE_DOCUMENTS / n) * (1 << 20)))]), F.col("code")) if counts else F.lit(0)
-    rows = top.where(F.col("h") <= limit).select("code", F.substring("text", 1, 20_000).alias("text")).limit(2 * SAMPLE_DOCUMENTS * len(LANGUAGES)).collect()
-    samples: dict[str, list[str]] = {}
-    for r in sorted(rows):
-        mine = samples.setdefault(r.code, [])
-        for a, b in sentences(r.text):
-            words = content(r.text[a:b])
-            if words.count(" ") >= WHOLE_WORDS and len(mine) < SAMPLE_SENTENCES:
-                mine.append(words)
+    named = named.select(F.col("_named")[0].alias("code"), "text", F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(1 << 20)).alias("h"))
+    counts = {r.code: r.n for r in named.groupBy("code").agg(F.count("*").alias("n")).collect()}  # one row per language
+    if not counts:
+        return {}
+    limit = F.try_element_at(F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, int(min(1.0, n_documents / n) * (1 << 20)))]), F.col("code"))
+    common = named.where(F.col("h") < limit).select("code", F.explode(_contents("text")).alias("words")).groupBy("code", "words").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("code").orderBy(F.desc("n"), F.xxhash64("words", F.lit(salt)))
+    samples: dict[str, Counter] = {}
+    for r in common.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= n_sentences).collect():
+        samples.setdefault(r.code, Counter())[r.words] = r.n
     return samples
 
 

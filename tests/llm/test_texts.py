@@ -1,12 +1,13 @@
 import random
 from collections import Counter
+from pathlib import Path
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.languages import classified, content, fit, fit_on, label_languages, language_stretches, read_stretches, sentences, unlabelled_languages
+from ledgerloom.llm.languages import classified, content, fit, fit_on, label_languages, language_stretches, read_stretches, sample_sentences, sentences, unlabelled_languages
 from ledgerloom.llm.leaks import Passages, agrees, find_in, find_leaks, plain_words, shared_run
 from ledgerloom.llm.packing import best_fit_decreasing, local_search, pack, pack_documents, pack_items
 from ledgerloom.llm.segmentation import oversized, split_paragraphs, split_text
@@ -144,7 +145,7 @@ SENTENCES = {
 
 
 def test_languages():
-    m = fit({k: v * 5 + SENTENCES["en"][:1] for k, v in SENTENCES.items()})
+    m = fit({k: Counter(v * 5 + SENTENCES["en"][:1]) for k, v in SENTENCES.items()})
     held_out = {"en": "they asked whether the owner would share the cost of the new roof", "de": "sie fragten, ob der Eigentümer die Kosten für das neue Dach mit ihnen teilt", "es": "preguntaron si el propietario compartiría el coste del nuevo tejado"}
     assert {k: m.classify(content(v))[0] for k, v in held_out.items()} == {k: k for k in held_out}
     text = "The tenant pays its share of the taxes and of the insurance. Der Mieter zahlt seinen Anteil an den Steuern und an der Versicherung.\n\n12 | 34 | 5.6\n13 | 35 | 7.8\n\nAcme Inc. and Co."
@@ -154,13 +155,38 @@ def test_languages():
 
 
 def test_the_sentence_after_a_table_is_read():
-    m = fit({k: v * 5 for k, v in SENTENCES.items()})
+    m = fit({k: Counter(v * 5) for k, v in SENTENCES.items()})
     german, english = "Der Mieter zahlt seinen Anteil an den Steuern und an der Versicherung.", "The tenant pays its share of the taxes and of the insurance."
     text = f"{german}\n\n| item | the rent of it |\n|---|---|\n| of the roof | 34 |\n{english}\n| a | b |\n"
     got = read_stretches(text, m.classify)
     assert [(s[2], s[4]) for s in got] == [("de", 1), ("en", 1)] and got[1][0] == text.index(english) and got[0][1] == got[1][0] and got[-1][1] == len(text)
 
 
+@pytest.mark.skipif(not Path("/root/testdata/sf0.1").exists(), reason="the test tables are not here")
+def test_no_common_sentence_is_misread_whatever_the_sample(spark):
+    documents = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    whole = sample_sentences(documents, 10**9, 10**9)
+    share = {k: 1 / c.total() for k, c in whole.items()}
+    clear = {t: k for k, c in whole.items() for t, n in c.items() if n >= 5 and all(j == k or n * share[k] > 3 * o[t] * share[j] for j, o in whole.items())}
+    assert len(clear) > 400
+    for salt in range(20):
+        m = fit(sample_sentences(documents, 400, salt=salt))
+        assert [(salt, t, k) for t, k in clear.items() if m.classify(t)[0] != k] == []
+
+
+def test_a_sample_under_wrong_labels():
+    rng = random.Random(5)
+    words = {k: [w for s in v for w in s.split()] for k, v in SENTENCES.items()}
+    sample = {k: Counter() for k in SENTENCES}
+    for k in SENTENCES:
+        for _ in range(200):
+            label = k if rng.random() < 0.85 else rng.choice(sorted(SENTENCES))
+            sample[label][" ".join(rng.choices(words[k], k=9))] += 1
+    m = fit(sample)
+    held_out = [(k, " ".join(rng.choices(words[k], k=9))) for k in SENTENCES for _ in range(100)]
+    assert sum(m.classify(t)[0] == k for k, t in held_out) >= 297 and fit({"en": Counter(SENTENCES["en"])}).classify(SENTENCES["en"][0])[0] == "en"
+
+
 def test_languages_in_spark(spark):
     rows = [(i, ". ".join(s.capitalize() for s in v) + ".", k) for i, (k, v) in enumerate(sorted(SENTENCES.items()) * 6)]
     rows += [(100, rows[0][1], "en-GB"), (101, rows[1][1], None), (102, None, "de"), (103, "", "n/a"), (104, rows[0][1], "Deutsch")]
