@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ledgerloom.catalog import table
 from ledgerloom.operators.snapshots import file_changes
 from ledgerloom.operators.timestamps import fact_moments
-from ledgerloom.operators.units import converted_facts, fact_units
+from ledgerloom.operators.units import converted_facts, fact_units, inferred_units
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -31,12 +31,17 @@ def p5_canonical_amounts(spark: SparkSession, folder: str) -> DataFrame:
     return fact_units(table(spark, folder, "facts"), table(spark, folder, "measure_defs"))
 
 
+def p5_inferred_units(spark: SparkSession, folder: str) -> DataFrame:
+    """Facts whose unit only the chain tells, by the level of their series."""
+    return inferred_units(table(spark, folder, "facts"), table(spark, folder, "measure_defs"))
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """Normal forms of periods and moments."""
     return fact_moments(table(spark, folder, "facts"), table(spark, folder, "sources"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_change_counts, p5_found, p5_canonical_amounts, p6_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_change_counts, p5_found, p5_canonical_amounts, p5_inferred_units, p6_found)}
 
 _CHANGES = r"""
 WITH listing AS (
