@@ -55,6 +55,21 @@ def test_local_search_empties_containers():
     assert len(local_search([list(b) for b in first], sizes, 100)) < len(first)
 
 
+def test_sizes_that_do_not_combine_stay_in_their_shards(spark):
+    # 1,100 to 1,900 of 2,048: no two fit together, so nothing may go up to a single last task, and no container is shared.
+    rng = random.Random(3)
+    rows = [(i, rng.randint(1100, 1900)) for i in range(600)] + [(1000 + i, 2048) for i in range(200)]
+    got = pack_items(spark.createDataFrame(rows, "item bigint, size int"), 2048, shard=64).collect()
+    assert len(got) == len({r.container for r in got}) == 800
+    mixed = [(i, rng.choice([300, 512, 700, 1024, 1100])) for i in range(3000)]
+    got = pack_items(spark.createDataFrame(mixed, "item bigint, size int"), 2048, shard=128).collect()
+    fills = Counter()
+    for r in got:
+        fills[r.container] += r.size
+    assert sorted((r.item, r.size) for r in got) == mixed and max(fills.values()) <= 2048
+    assert len(fills) <= 1.02 * len(pack([n for _, n in mixed], 2048))
+
+
 def test_items_and_documents(spark):
     rng = random.Random(6)
     rows = [(i, rng.choice([0, None, 5, 700, 2048, 2049, 9000])) for i in range(400)]
