@@ -5,8 +5,9 @@ and at each step the letter under it is put out and a random function of step an
 windows within a small edit distance fall back into step after each edit, so that edit distance becomes Hamming distance,
 and bit-sampling LSH finds them: several tables, each hashing the walk's output at a random choice of steps.  The windows of
 the evaluation items (a stated query set, in blocks) start at every word; those of the documents at every STRIDE-th, close
-enough that any run of the wanted length holds some.  Every candidate is then verified exactly: words are aligned outwards
-from it, with at most one misread character in a word, and the words of the item that it covers are counted.
+enough that any run of the wanted length holds some.  Every candidate is then aligned with the item's words, outwards from the
+window, with at most one misread character in a word; and the run that comes out is verified by its exact edit distance: the
+letters of both sides may differ by at most one in LETTERS_PER_EDIT (a banded computation, exact within the band).
 
 The corpus is read once and never shuffled: only findings leave the tasks.
 """
@@ -29,6 +30,7 @@ LEAST_WORDS = 15
 STRIDE = 5  # words between window starts in documents; 15 words of four letters hold at least one whole window
 STEPS = 60  # of the walk; the pointer moves every other step on average, so a window reaches over 30 letters
 TABLES, SAMPLED = 6, 9  # recall of a window with one misread letter: about 1 - (1 - 0.4)^6 = 0.95, more with several windows
+LETTERS_PER_EDIT = 8  # a run of passages is no copy if more than one letter in so many is misread
 BLOCK = 5000  # items per pass over the documents
 CHUNK = 4_000_000  # letters that are embedded at once
 
@@ -40,15 +42,32 @@ _DELETE = bytes(c for c in range(33, 128) if not chr(c).isalnum())
 _CONFUSED = bytes.maketrans(b"oqlizsgb", b"00112598")  # letters that digits are misread as
 
 
-def plain_words(text: str) -> list[bytes]:
-    """Words without case, accents, punctuation, tags and line-end hyphens; words without letters or digits vanish."""
+def _bare(text: str) -> str:
+    """Without tags, line-end hyphens and characters nobody sees; letters and their accents apart."""
     if "<" in text:
         text = _TAG.sub("", text)
     if "\n" in text and ("-\n" in text or _BROKEN.search(text)):
         text = _BROKEN.sub("", text)
     if not text.isascii():
         text = unicodedata.normalize("NFKD", _INVISIBLE.sub("", text))
-    return text.encode("ascii", "ignore").translate(_LOWER, _DELETE).split()
+    return text
+
+
+def plain_words(text: str) -> list[bytes]:
+    """Words without case, accents, punctuation, tags and line-end hyphens; words without letters or digits vanish."""
+    return _bare(text).encode("ascii", "ignore").translate(_LOWER, _DELETE).split()
+
+
+def marks_between(text: str) -> list[int]:
+    """How many words without letters or digits (a lone & or dash) stand before each plain word, and after the last."""
+    found = [0]
+    for w in _bare(text).split():
+        n = len(w.encode("ascii", "ignore").translate(_LOWER, _DELETE).split())
+        if n:
+            found += [0] * n
+        else:
+            found[-1] += 1
+    return found
 
 
 def _walks() -> tuple[np.ndarray, np.ndarray]:
@@ -102,6 +121,7 @@ class Passages:
         self.ids = [i for i, _ in items]
         self.words: list[list[bytes]] = []
         self.counted: list[list[int]] = []  # words of the item, as white space separates them, before each plain word
+        self.length: list[int] = []  # words of the item, as white space separates them
         owners, places, hashes = [], [], []
         for n, (_, text) in enumerate(items):
             words, counted = [], []
@@ -111,6 +131,7 @@ class Passages:
                     counted.append(i)
             self.words.append(words)
             self.counted.append(counted)
+            self.length.append(len(text.split()))
             if words:
                 letters, starts = _stream(words)
                 hashes.append(embed(letters, starts))
@@ -193,20 +214,61 @@ def _reach(item: list[bytes], seen: list[bytes], i: int, j: int, step: int) -> t
     return last
 
 
-def shared_run(passages: Passages, n: int, seen: list[bytes], i: int, j: int) -> tuple[int, int, int]:
-    """(words of item n covered, first and last seen word) of the alignment through item word i and seen word j."""
+def edits_within(a: bytes, b: bytes, most: int) -> int:
+    """The edit distance of two strings, or most + 1 if it is larger: Ukkonen's band of diagonals, the furthest reach on each.
+
+    The work grows with the length and the square of the distance, not with the product of the lengths.
+    """
+    if abs(len(a) - len(b)) > most:
+        return most + 1
+    reach: dict[int, int] = {}
+    for e in range(most + 1):
+        now: dict[int, int] = {}
+        for d in range(-e, e + 1):
+            x = max(reach.get(d, -2) + 1, reach.get(d - 1, -2), reach.get(d + 1, -2) + 1) if e else 0
+            if x < 0 or x > len(a) or x + d < 0:
+                continue
+            x = min(x, len(b) - d)
+            while x < len(a) and x + d < len(b) and a[x] == b[x + d]:
+                x += 1
+            if x == len(a) and x + d == len(b):
+                return e
+            now[d] = x
+        reach = now
+    return most + 1
+
+
+def shared_run(passages: Passages, n: int, seen: list[bytes], i: int, j: int, least: int = 1, marks=None) -> tuple[int, int, int, int]:
+    """(words of item n covered, first and last seen word, edits) of the alignment through item word i and seen word j.
+
+    Words without letters count between the ends of the run.  Beside its ends they count as far as ``marks`` (how many such
+    words stand before each seen word) has them too; it is a function, called only if they decide about ``least``.  A run
+    whose letters differ too much covers nothing.
+    """
     item = passages.words[n]
     right = _reach(item, seen, i, j, 1)
     if right[0] < i:
-        return 0, j, j
+        return 0, j, j, 0
     left = _reach(item, seen, i - 1, j - 1, -1)
     first = left if left[0] < i else (i, j)
     counted = passages.counted[n]
-    return counted[right[0]] - counted[first[0]] + 1, first[1], right[1]
-
-
-def find_in(texts: list[tuple[int, str | None]], passages: Passages, least: int) -> Iterator[tuple[int, int, int, int, int]]:
-    """(doc, item, words, first word, last word): the longest run of each item in each document, if it is long enough."""
+    covered = counted[right[0]] - counted[first[0]] + 1
+    if covered < least and marks:
+        before = counted[first[0]] - (counted[first[0] - 1] + 1 if first[0] else 0)
+        after = (counted[right[0] + 1] if right[0] + 1 < len(counted) else passages.length[n]) - counted[right[0]] - 1
+        if covered + before + after >= least:
+            there = marks()
+            covered += min(before, there[first[1]]) + min(after, there[right[1] + 1])
+    if covered < least:
+        return covered, first[1], right[1], 0
+    a, b = b"".join(item[first[0] : right[0] + 1]), b"".join(seen[first[1] : right[1] + 1])
+    most = len(a) // LETTERS_PER_EDIT
+    edits = edits_within(a, b, most)
+    return (covered if edits <= most else 0), first[1], right[1], edits
+
+
+def find_in(texts: list[tuple[int, str | None]], passages: Passages, least: int) -> Iterator[tuple[int, int, int, int, int, int]]:
+    """(doc, item, words, first word, last word, edits): the longest run of each item in each document, if it is long enough."""
     words = [plain_words(t) if t else [] for _, t in texts]
     begin = 0
     while begin < len(texts):
@@ -221,7 +283,8 @@ def find_in(texts: list[tuple[int, str | None]], passages: Passages, least: int)
             stream, starts = _stream(flat)
             number = np.arange(len(flat)) - np.repeat(offsets, counts)
             windows = np.flatnonzero(number % STRIDE == 0)
-            best: dict[tuple[int, int], tuple[int, int, int]] = {}
+            best: dict[tuple[int, int], tuple[int, int, int, int]] = {}
+            marks: dict[int, list[int]] = {}
             for w, n, i in passages.candidates(embed(stream, starts[windows])):
                 d = int(np.searchsorted(offsets, windows[w], "right")) - 1
                 while counts[d] == 0:
@@ -230,15 +293,17 @@ def find_in(texts: list[tuple[int, str | None]], passages: Passages, least: int)
                 known = best.get((d, n))
                 if known and known[0] >= least and known[1] <= j <= known[2]:
                     continue
-                run = shared_run(passages, n, words[begin + d], i, j)
+                # The marks of a document are looked for at most once, and only where a run lacks a word or two.
+                between = lambda d=d: marks.setdefault(d, marks_between(texts[begin + d][1]) if d not in marks else [])
+                run = shared_run(passages, n, words[begin + d], i, j, least, between)
                 if run[0] >= least and (not known or run[0] > known[0]):
                     best[(d, n)] = run
-            for (d, n), (length, first, last) in sorted(best.items()):
-                yield texts[begin + d][0], passages.ids[n], length, first, last
+            for (d, n), run in sorted(best.items()):
+                yield texts[begin + d][0], passages.ids[n], *run
         begin = end
 
 
-_FOUND = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("item_id", T.LongType()), T.StructField("n_words", T.IntegerType()), T.StructField("first_word", T.IntegerType()), T.StructField("last_word", T.IntegerType())])
+_FOUND = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("item_id", T.LongType()), T.StructField("n_words", T.IntegerType()), T.StructField("first_word", T.IntegerType()), T.StructField("last_word", T.IntegerType()), T.StructField("n_edits", T.IntegerType())])
 
 
 def _finder(items: list[tuple[int, str]], least: int):
@@ -246,17 +311,17 @@ def _finder(items: list[tuple[int, str]], least: int):
         passages = Passages(items)
         for batch in batches:
             rows = list(find_in(list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())), passages, least))
-            columns = list(zip(*rows)) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()))], names=[f.name for f in _FOUND])
+            columns = list(zip(*rows)) if rows else [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()))], names=[f.name for f in _FOUND])
 
     return run
 
 
 def find_leaks(documents: DataFrame, items: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
-    """Documents that repeat ``least`` or more consecutive words of an item: doc_id, item_id, n_words, first_word, last_word.
+    """Documents that repeat ``least`` or more consecutive words of an item: doc_id, item_id, n_words, first_word, last_word, n_edits.
 
     n_words counts the item's words as white space separates them; first_word and last_word are positions among the
-    document's words that have letters or digits.  One row per document and item, for the longest run.  Null and empty
+    document's words that have letters or digits; n_edits is the edit distance of the letters on both sides.  One row per document and item, for the longest run.  Null and empty
     texts leak nothing; documents or items stored several times count once.  Items travel to the tasks in blocks of BLOCK.
     """
     require(documents, "doc_id", "text")
@@ -272,4 +337,4 @@ def find_leaks(documents: DataFrame, items: DataFrame, least: int = LEAST_WORDS)
     for block in blocks:
         part = texts.mapInArrow(_finder(block, least), _FOUND)
         found = part if found is None else found.unionByName(part)
-    return found.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_words", "first_word", "last_word")).alias("r")).select("doc_id", "item_id", "r.*")
+    return found.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_words", "first_word", "last_word", "n_edits")).alias("r")).select("doc_id", "item_id", "r.*")

@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.languages import classified, content, fit, fit_on, label_languages, language_stretches, read_stretches, sample_sentences, sentences, unlabelled_languages
-from ledgerloom.llm.leaks import Passages, agrees, find_in, find_leaks, plain_words, shared_run
+from ledgerloom.llm.leaks import Passages, agrees, edits_within, find_in, find_leaks, marks_between, plain_words, shared_run
 from ledgerloom.llm.packing import best_fit_decreasing, local_search, pack, pack_documents, pack_items
 from ledgerloom.llm.segmentation import oversized, split_paragraphs, split_text
 from ledgerloom.llm.tokens import TOKENIZER, counter
@@ -112,7 +112,7 @@ def test_leaks_against_brute_force():
         noise[rng.randint(0, len(noise)) : 0] = words[at : at + length]
         texts.append((n, " ".join(noise)))
     p = Passages(items)
-    found = {(d, i): n for d, i, n, _, _ in find_in(texts, p, 15)}
+    found = {(d, i): n for d, i, n, *_ in find_in(texts, p, 15)}
     want = {}
     for d, text in texts:
         seen = plain_words(text)
@@ -130,6 +130,27 @@ def test_leaks_in_other_dress(text, n):
     assert [r[2] for r in find_in([(1, text)], Passages([(7, ITEM)]), 15)] == ([n] if n else [])
 
 
+def test_words_without_letters_at_the_ends_of_a_run_count():
+    words = [f"word{i}{'abcdefghijklmnop'[i % 16]}" for i in range(60)]
+    item = " ".join([*words[:20], "&", *words[20:34], "&", *words[34:]])  # the 15th of words[20:34] and a mark beside it
+    p = Passages([(1, item)])
+    run = [n for _, _, n, *_ in find_in([(1, "x y " + " ".join(["&", *words[20:34]]) + " z")], p, 15)]
+    assert run == [15] and marks_between("a & b\n– c") == [0, 1, 1, 0]
+    assert [r for r in find_in([(1, "x y & " + " ".join(words[20:34]) + " & z")], p, 15)][0][2] == 16
+    assert not list(find_in([(1, "x y " + " ".join(words[20:34]) + " z")], p, 15))
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text("ab", max_size=12), st.text("ab", max_size=12), st.integers(0, 6))
+def test_edits_in_a_band_are_exact(a, b, most):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, last = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    assert edits_within(a.encode(), b.encode(), most) == min(row[-1], most + 1)
+
+
 def test_leaks_of_the_least_length_with_lost_and_added_letters():
     rng = random.Random(11)
     words = ["".join(rng.choice("abcdefghijklmnoprstuvwz") for _ in range(rng.randint(4, 9))) for _ in range(2000)]
