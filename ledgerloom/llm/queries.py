@@ -11,7 +11,7 @@ from ledgerloom.llm.mapping import free_metrics
 from ledgerloom.llm.names import link_names, linked_pairs
 from ledgerloom.llm.packing import pack_documents, packing_summary
 from ledgerloom.llm.segmentation import oversized, split_paragraphs
-from ledgerloom.llm.survivors import survivors
+from ledgerloom.llm.survivors import LATEST, survivors
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -28,11 +28,11 @@ def p2_clusters(spark: SparkSession, folder: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """The record each surviving field of a cell is from."""
-    return survivors(table(spark, folder, "ledger_resolutions")).select("group_id", "fact_ids_from", "conflict_id_from", "decision_from", "state_from")
+    return survivors(table(spark, folder, "ledger_resolutions"), LATEST).select("group_id", "fact_ids_from", "conflict_id_from", "decision_from", "state_from")
 
 
 def p3_survivors(spark: SparkSession, folder: str) -> DataFrame:
-    """The surviving record of each cell."""
+    """The surviving record of each cell, as the votes of all its records decide."""
     return survivors(table(spark, folder, "ledger_resolutions"))
 
 
