@@ -30,19 +30,25 @@ def _nfkd(texts: pa.Array) -> pa.Array:
     return _normalized(texts, "NFKD")
 
 
+def _beyond_ascii(c: Column, form) -> Column:
+    """Only texts beyond ASCII leave the JVM; the others are their own form under all normalisations."""
+    plain = c.rlike(r"^\p{ASCII}*\z")
+    return F.when(plain, c).otherwise(form(F.when(~plain, c)))
+
+
 def nfc(c: Column) -> Column:
     """Canonical composition; null stays null."""
-    return _nfc(c)
+    return _beyond_ascii(c, _nfc)
 
 
 def nfkc(c: Column) -> Column:
     """Compatibility composition; null stays null."""
-    return _nfkc(c)
+    return _beyond_ascii(c, _nfkc)
 
 
 def nfkd(c: Column) -> Column:
     """Compatibility decomposition; null stays null."""
-    return _nfkd(c)
+    return _beyond_ascii(c, _nfkd)
 
 
 #: White space as ECMAScript's \s sees it, for Java regular expressions, in code point order.

@@ -30,6 +30,31 @@ _WORDS = (
     ("PER", r"/|per"),
     ("FILL", r"in|as|of|a"),
 )
+# How units are commonly written in a field of their own, by what they mean.
+UNIT_WORDS = {
+    "usd": ("usd", "$", "us$", "us dollars", "dollars"),
+    "usd_thousands": ("usd_thousands", "usd thousands", "usd 000", "usd k", "kusd", "tusd", "$k", "$000s", "$ thousand", "thousand dollars"),
+    "usd_millions": ("usd_millions", "usd millions", "usd mm", "usd mn", "$mm", "us$ million", "million dollars", "mio. usd"),
+    "ratio": ("ratio", "decimal", "fraction"),
+    "percent": ("percent", "%", "per cent", "pct", "pct.", "prozent"),
+    "bps": ("bps", "bp", "basis points", "basis pts"),
+    "sf": ("sf", "sqft", "sq ft", "sq. ft.", "square feet", "ft²"),
+    "sqm": ("sqm", "qm", "m2", "m²", "square metres", "square meters"),
+    "acres": ("acres", "acre", "ac", "ac."),
+    "thousand_sf": ("thousand_sf", "000 sf", "k sf"),
+    "usd_per_sf": ("usd_per_sf", "usd/sf", "$/sf", "$ psf", "usd per sq ft"),
+    "usd_per_sqm": ("usd_per_sqm", "usd/sqm"),
+    "usd_per_sf_per_year": ("usd_per_sf_per_year", "usd/sf/year", "usd psf pa", "$/sf per annum", "$/sf/yr"),
+    "usd_per_sf_per_month": ("usd_per_sf_per_month", "$/sf monthly"),
+    "usd_per_sqm_per_year": ("usd_per_sqm_per_year", "usd per m2 per annum"),
+    "years": ("years", "year", "yrs", "yr", "y", "annum", "jahre"),
+    "quarters": ("quarters", "quarter", "quartale"),
+    "months": ("months", "month", "monate"),
+    "count": ("count", "units", "ea", "no.", "#"),
+    "kwh": ("kwh",),
+    "mwh": ("mwh",),
+    "gj": ("gj",),
+}
 _TOKEN = re.compile("(?:" + "|".join(f"(?P<{name}>{words})" for name, words in _WORDS) + r")\.?(?![a-z0-9])")
 _GAP = re.compile(r"\s*")
 

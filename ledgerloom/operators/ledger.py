@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerloom.catalog import require
 from ledgerloom.functions.periods import real_date, with_period_key
 from ledgerloom.functions.text import alias_key, entity_fold
+from ledgerloom.functions.unit_text import UNIT_WORDS
 
 #: Amounts beyond this are not faithfully a double; they are skipped, not compared.
 LARGEST = 9007199254740991.0
@@ -24,12 +25,19 @@ def measure_units(measures: DataFrame) -> DataFrame:
     return measures.select("slug", "tolerance_kind", "tolerance", F.explode("units").alias("u")).select("slug", "tolerance_kind", "tolerance", F.col("u.id").alias("unit"), F.col("u.to_canonical_factor").alias("factor"))
 
 
+def written_unit(unit: Column) -> Column:
+    """The unit id a field commonly written stands for; other texts stand for themselves, trimmed."""
+    words = F.create_map(*[F.lit(x) for unit_id, forms in UNIT_WORDS.items() for form in forms for x in (form, unit_id)])
+    bare = F.trim(unit)
+    return F.coalesce(F.try_element_at(words, F.lower(bare)), bare)
+
+
 def ledger_facts(facts: DataFrame, measures: DataFrame) -> DataFrame:
     """Facts with normalised keys: one row per fact_id, with entity_key, metric_slug, period_key, group_key, observed_on,
     and canonical (the amount in the measure's unit, null if it cannot be converted).
 
     A fact stored several times counts once (its latest ingestion).  A metric that is no label, alias or slug has no slug
-    and no group.  Null entities fall back to the quoted one.
+    and no group.  Units are read as they are commonly written (UNIT_WORDS).  Null entities fall back to the quoted one.
     """
     require(facts, "fact_id", "entity", "entity_quote", "metric", "period_text", "amount", "unit", "ingested_at", "created_at", "observed_at_text")
     newest = Window.partitionBy("fact_id").orderBy(F.col("ingested_at").desc_nulls_last())
@@ -39,7 +47,7 @@ def ledger_facts(facts: DataFrame, measures: DataFrame) -> DataFrame:
     units = measure_units(measures).select(F.col("slug").alias("_slug"), F.col("unit").alias("_unit"), "factor")
     kinds = measures.select(F.col("slug").alias("metric_slug"), "tolerance_kind", "tolerance").dropDuplicates(["metric_slug"])
     named = keyed.join(measure_aliases(measures).select(F.col("alias").alias("_alias"), F.col("slug").alias("metric_slug")), "_alias", "left")
-    measured = named.join(units, (F.col("metric_slug") == F.col("_slug")) & (F.col("unit") == F.col("_unit")), "left").join(kinds, "metric_slug", "left")
+    measured = named.withColumn("unit", written_unit(F.col("unit"))).join(units, (F.col("metric_slug") == F.col("_slug")) & (F.col("unit") == F.col("_unit")), "left").join(kinds, "metric_slug", "left")
     canonical = F.col("amount") * F.col("factor")
     return measured.select(
         "fact_id", "tenant_id", "source_id", "document_id", "document_version_id", "source_class", "entity_key", "metric_slug", "period_key",
@@ -66,7 +74,8 @@ def detect_conflicts(facts: DataFrame) -> DataFrame:
     fact_ids (sorted).
 
     Facts without a known metric are in no group; those that cannot be converted are counted as skipped.  One aggregation,
-    with partial results before the shuffle; ids are collected only of cells that are in conflict after it.
+    with partial results before the shuffle, finds the cells in conflict; only their facts are read again for the ids.  Give
+    a frame that is cheap to read twice.
     """
     known = facts.where("metric_slug IS NOT NULL AND entity_key IS NOT NULL")
     cells = known.groupBy("tenant_id", "group_key").agg(
@@ -74,9 +83,12 @@ def detect_conflicts(facts: DataFrame) -> DataFrame:
         F.first("tolerance_kind").alias("tolerance_kind"), F.first("tolerance").alias("tolerance"),
         F.count("canonical").alias("n_facts"), F.count_if(F.col("canonical").isNull()).alias("n_skipped"),
         F.min("canonical").alias("low"), F.max("canonical").alias("high"),
-        F.array_sort(F.collect_list(F.when(F.col("canonical").isNotNull(), F.col("fact_id")))).alias("fact_ids"),
     )
-    return cells.where((F.col("n_facts") >= 2) & beyond_tolerance(F.col("low"), F.col("high"), F.col("tolerance_kind"), F.col("tolerance"))).select(
+    keys = ["tenant_id", "group_key"]
+    apart = cells.where((F.col("n_facts") >= 2) & beyond_tolerance(F.col("low"), F.col("high"), F.col("tolerance_kind"), F.col("tolerance")))
+    members = known.where("canonical IS NOT NULL").select(*keys, "fact_id").join(apart.select(*keys), keys, "left_semi")
+    ids = members.groupBy(*keys).agg(F.array_sort(F.collect_list("fact_id")).alias("fact_ids"))
+    return apart.join(ids, keys).select(
         "tenant_id", "group_key", "entity_key", "metric_slug", "period_key", "n_facts", "n_skipped", (F.col("high") - F.col("low")).alias("magnitude"), "fact_ids",
     )
 
@@ -157,13 +169,12 @@ def resolve_cells(facts: DataFrame, stored: DataFrame) -> DataFrame:
     keys = ["tenant_id", "group_key"]
     known = facts.where("metric_slug IS NOT NULL AND entity_key IS NOT NULL")
     active = ~F.coalesce(F.col("withdrawn"), F.lit(False)) & ~F.coalesce(F.col("superseded"), F.lit(False))
-    order = F.struct(F.col("observed_on").isNotNull(), F.coalesce("observed_on", F.lit("0001-01-01").cast("date")), F.col("created_at"))
+    # Latest first, as numbers, so that one aggregation with partial results finds the value observed last.
+    order = F.struct(F.coalesce(-F.unix_date("observed_on"), F.lit(2**31 - 1)), F.coalesce(-F.unix_micros("created_at"), F.lit(2**63 - 1)), F.col("fact_id"))
     value = F.when(active, F.col("canonical"))
-    last = F.max(F.when(active, order)).over(Window.partitionBy(*keys))
-    chosen = known.withColumn("_last", active & (order == last))
-    cells = chosen.groupBy(*keys).agg(
+    cells = known.groupBy(*keys).agg(
         F.count_if(active).alias("n_active"), F.count(value).alias("n_values"), F.min(value).alias("low"), F.max(value).alias("high"),
-        F.first("tolerance_kind").alias("tolerance_kind"), F.first("tolerance").alias("tolerance"), F.min_by(F.when(F.col("_last"), F.struct("canonical")), F.when(F.col("_last"), F.col("fact_id"))).alias("single"),
+        F.first("tolerance_kind").alias("tolerance_kind"), F.first("tolerance").alias("tolerance"), F.min_by(F.struct("canonical"), F.when(active, order)).alias("single"),
     )
     open_ = stored.where("status = 'open'").groupBy(*keys).agg(F.min_by(F.struct("conflict_id", F.size("fact_ids").alias("n")), F.struct("created_at", "conflict_id")).alias("open"))
     winners = known.select(*keys, F.col("fact_id").alias("winning_fact_id"), F.col("canonical").alias("won"), F.coalesce("withdrawn", F.lit(False)).alias("won_withdrawn"))

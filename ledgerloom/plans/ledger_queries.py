@@ -11,6 +11,7 @@ from ledgerloom.functions.text import entity_fold, near_match_fold
 from ledgerloom.operators.entities import near_matches, resolve_entities
 from ledgerloom.operators.ledger import agree_facts, detect_conflicts, ledger_facts, propose_survivor, reconcile_conflicts, resolve_cells, stored_conflicts
 from ledgerloom.plans.sql_parts import CONFLICTS, LEDGER_FACTS, STORED, beyond, fold, span, stated
+from ledgerloom.storage import durable
 
 TENANT = "t-000001"
 
@@ -19,6 +20,11 @@ def _facts(spark: SparkSession, folder: str) -> DataFrame:
     return ledger_facts(table(spark, folder, "facts"), table(spark, folder, "measure_defs"))
 
 
+def _kept_facts(spark: SparkSession, folder: str) -> DataFrame:
+    """The same, written once, for plans that read them several times."""
+    return durable(_facts(spark, folder).drop("raw_text"), "facts")
+
+
 def _stored(spark: SparkSession, folder: str) -> DataFrame:
     return stored_conflicts(table(spark, folder, "conflicts"))
 
@@ -29,38 +35,38 @@ def _flat(conflicts: DataFrame) -> DataFrame:
 
 def conflict_scan(spark: SparkSession, folder: str) -> DataFrame:
     """Cells whose facts disagree beyond the measure's tolerance."""
-    return _flat(detect_conflicts(_facts(spark, folder)))
+    return _flat(detect_conflicts(_kept_facts(spark, folder)))
 
 
 def conflict_scan_current_only(spark: SparkSession, folder: str) -> DataFrame:
     """The same over facts that no newer document version superseded (unknown counts as current)."""
-    return _flat(detect_conflicts(_facts(spark, folder).where("NOT coalesce(superseded, false)")))
+    return _flat(detect_conflicts(_kept_facts(spark, folder).where("NOT coalesce(superseded, false)")))
 
 
 def conflict_scan_incremental(spark: SparkSession, folder: str) -> DataFrame:
     """The same over the cells touched since a date."""
-    facts = _facts(spark, folder)
+    facts = _kept_facts(spark, folder)
     touched = facts.where("created_at >= TIMESTAMP '2024-10-01 00:00:00'").select("tenant_id", "group_key").distinct()
     return _flat(detect_conflicts(facts.join(touched, ["tenant_id", "group_key"], "left_semi")))
 
 
 def conflict_reconcile(spark: SparkSession, folder: str) -> DataFrame:
     """What the scan does to the stored conflicts."""
-    facts = _facts(spark, folder)
+    facts = _kept_facts(spark, folder)
     skipped = facts.where("metric_slug IS NOT NULL AND canonical IS NULL")
     return reconcile_conflicts(detect_conflicts(facts), _stored(spark, folder), skipped)
 
 
 def survivorship_proposals(spark: SparkSession, folder: str) -> DataFrame:
     """Proposed winners by authority or recency, over cells in conflict."""
-    facts = _facts(spark, folder)
+    facts = _kept_facts(spark, folder)
     contested = detect_conflicts(facts).select("tenant_id", "group_key")
     return propose_survivor(facts.join(contested, ["tenant_id", "group_key"], "left_semi"), table(spark, folder, "measure_defs"))
 
 
 def ledger_cells(spark: SparkSession, folder: str) -> DataFrame:
     """State and value of every cell."""
-    return resolve_cells(_facts(spark, folder), _stored(spark, folder)).withColumn("canonical", F.round("canonical", 6))
+    return resolve_cells(_kept_facts(spark, folder), _stored(spark, folder)).withColumn("canonical", F.round("canonical", 6))
 
 
 def ledger_cells_by_state(spark: SparkSession, folder: str) -> DataFrame:

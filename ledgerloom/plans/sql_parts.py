@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ledgerloom.functions.periods import MONTHS, NOTATIONS
+from ledgerloom.functions.unit_text import UNIT_WORDS
 
 
 def fold(column: str) -> str:
@@ -59,16 +60,18 @@ def span(key: str) -> tuple[str, str]:
 
 
 _STEPS, _KEY = period_key("period_text")
+_WRITTEN = ", ".join(f"('{form}', '{unit}')" for unit, forms in UNIT_WORDS.items() for form in forms)
 
 #: CTE lf: the rows of ledger_facts.
 LEDGER_FACTS = rf"""
 names AS (SELECT slug, unnest([slug, label] || coalesce(aliases, [])) AS a FROM measure_defs),
 aliases AS (SELECT lower(trim(a)) AS alias, min(slug) AS slug FROM names GROUP BY 1),
 units AS (SELECT slug, unnest(units) AS u FROM measure_defs),
-once AS (SELECT * FROM facts QUALIFY row_number() OVER (PARTITION BY fact_id ORDER BY ingested_at DESC NULLS LAST) = 1),
+written(form, unit_id) AS (VALUES {_WRITTEN}),
+once AS (SELECT * REPLACE (coalesce(unit_id, trim(unit)) AS unit) FROM facts LEFT JOIN written ON form = lower(trim(unit)) QUALIFY row_number() OVER (PARTITION BY fact_id ORDER BY ingested_at DESC NULLS LAST) = 1),
 keyed AS (SELECT *, {_STEPS}, {_KEY} AS period_key, {fold('coalesce(entity, entity_quote)')} AS entity_key FROM once),
 lf AS (
-  SELECT k.* EXCLUDE (observed_at_text), a.slug AS metric_slug, m.tolerance_kind, m.tolerance, u.u.to_canonical_factor AS factor,
+  SELECT k.* EXCLUDE (observed_at_text, form, unit_id), a.slug AS metric_slug, m.tolerance_kind, m.tolerance, u.u.to_canonical_factor AS factor,
          concat_ws('::', entity_key, a.slug, period_key) AS group_key,
          CASE WHEN abs(amount * u.u.to_canonical_factor) <= 9007199254740991 THEN amount * u.u.to_canonical_factor END AS canonical,
          CASE WHEN regexp_full_match(trim(observed_at_text), '\d{{4}}-\d{{2}}-\d{{2}}') THEN try_cast(trim(observed_at_text) AS DATE) END AS observed_on
