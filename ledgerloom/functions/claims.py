@@ -227,3 +227,55 @@ def numbers_column(texts: pa.Array) -> pa.Array:
 @F.arrow_udf(T.ArrayType(T.StringType()))
 def content_tokens_column(texts: pa.Array) -> pa.Array:
     return pa.array([None if t is None else sorted(content_tokens(t)) for t in texts.to_pylist()], pa.list_(pa.string()))
+
+
+# Words beside a number that tell its magnitude and its kind.
+MAGNITUDES = {"k": 1e3, "thousand": 1e3, "m": 1e6, "mm": 1e6, "million": 1e6, "bn": 1e9, "billion": 1e9}
+PERCENT_WORDS, AREA_WORDS, YEAR_WORDS, MONTH_WORDS = frozenset(("percent", "pct")), frozenset(("sf", "rsf")), frozenset(("year", "years", "yr")), frozenset(("month", "months"))
+_AREA_PHRASES = (("sq", "ft"), ("square", "feet"), ("square", "foot"))
+
+
+def number_kind(written: str, before: str | None, after: list[str]) -> tuple[str, float]:
+    """(percentage, currency, area, duration or unknown; factor to the kind's plain unit) of a number, by its two next words."""
+    pair = tuple(after[:2])
+    if written.endswith("%") or PERCENT_WORDS & set(after):
+        return "percentage", 0.01
+    if after[:1] == ["bps"] or pair == ("basis", "points"):
+        return "percentage", 0.0001
+    factor = next((MAGNITUDES[w] for w in after if w in MAGNITUDES), 1.0)
+    if "$" in written or before == "usd":
+        return "currency", factor
+    if AREA_WORDS & set(after) or pair in _AREA_PHRASES:
+        return "area", factor
+    if YEAR_WORDS & set(after):
+        return "duration", 1.0
+    if MONTH_WORDS & set(after):
+        return "duration", 1 / 12
+    return "unknown", factor
+
+
+def assertions_in(masked: str) -> list[tuple[float, str, float]]:
+    """(value, kind, value in the kind's plain unit) of the numbers of a text whose periods are blanked out."""
+    plain = masked if masked.isascii() else unicodedata.normalize("NFKC", masked)
+    words = [(m.start(), m.end(), m[0].lower()) for m in _LETTERS.finditer(plain)]
+    found = []
+    for a, b, value in numbers_in(plain):
+        before = next((w for s, e, w in reversed(words) if e <= a), None)
+        after = [w for s, _, w in words if s >= b][:2]
+        kind, factor = number_kind(plain[a:b], before, after)
+        found.append((value, kind, value * factor))
+    return found
+
+
+_ASSERTED = T.ArrayType(T.StructType([T.StructField("value", T.DoubleType()), T.StructField("kind", T.StringType()), T.StructField("plain", T.DoubleType())]))
+
+
+@F.arrow_udf(_ASSERTED)
+def assertions_column(masked: pa.Array) -> pa.Array:
+    kind = pa.list_(pa.struct([("value", pa.float64()), ("kind", pa.string()), ("plain", pa.float64())]))
+    return pa.array([None if t is None else [dict(zip(("value", "kind", "plain"), x)) for x in assertions_in(t)] for t in masked.to_pylist()], kind)
+
+
+@F.arrow_udf(T.BooleanType())
+def unreadable_number_column(texts: pa.Array) -> pa.Array:
+    return pa.array([None if t is None else has_unreadable_number(t) for t in texts.to_pylist()], pa.bool_())

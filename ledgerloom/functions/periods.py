@@ -69,6 +69,23 @@ def stated_periods(text: Column, bare_years: bool = True) -> Column:
     return F.array_distinct(F.flatten(F.array(*found)))
 
 
+def without_periods(text: Column) -> Column:
+    """The text with its stated periods (whatever their calendar says) and lone years blanked out; null stays null."""
+    rest = text
+    for pattern, _ in NOTATIONS:
+        rest = F.regexp_replace(rest, pattern, " ~ ")
+    return F.regexp_replace(rest, r"\b(19|20)\d{2}\b(?![.,%]\d)", " ~ ")
+
+
+def ledger_period(argument: Column, folded: Column, parsed: Column) -> Column:
+    """The period key a caller's argument means: 'undated' as it is, 'undated:' with its rest folded, else the parsed key.
+
+    ``folded``: entity_fold of the argument.  Null and blank mean undated.
+    """
+    prefix = F.lit("undated:")
+    return F.when(F.coalesce(F.trim(argument), F.lit("")).isin("", "undated"), "undated").when(F.startswith(argument, prefix), F.concat(prefix, F.trim(F.substring(folded, 9, 2**31 - 1)))).otherwise(parsed)
+
+
 def unparseable_key(folded: Column) -> Column:
     """Key of a text that states no period: up to 64 characters of it, longer ones with a digest."""
     digest = F.substring(F.sha2(folded, 256), 1, 16)

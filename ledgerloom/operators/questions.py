@@ -11,7 +11,7 @@ from ledgerloom.functions.periods import stated_periods
 from ledgerloom.functions.text import digit_numbers, entity_fold, has_ascii_token, has_token
 
 
-def _mentions(questions: DataFrame, phrases: DataFrame, ascii_only: bool) -> DataFrame:
+def mentions(questions: DataFrame, phrases: DataFrame, ascii_only: bool) -> DataFrame:
     """(question_id, key) of phrases that occur in a question.
 
     Questions and phrases meet in a shared word first (an equi join on the phrase's longest word), so that the containment
@@ -35,8 +35,8 @@ def resolve_questions(questions: DataFrame, entities: DataFrame, measures: DataF
     require(questions, "question_id", "question")
     folded = questions.select("question_id", "question", entity_fold(F.col("question")).alias("_q"))
     count = lambda m, a: m.groupBy("question_id").agg(F.count("*").alias(f"n_{a}"), F.min("key").alias(a))
-    named = count(_mentions(folded, entities, True), "entity").join(count(_mentions(folded, entities, False), "any"), "question_id", "full_outer")
-    asked = folded.join(named, "question_id", "left").join(count(_mentions(folded, measures, False), "measure"), "question_id", "left")
+    named = count(mentions(folded, entities, True), "entity").join(count(mentions(folded, entities, False), "any"), "question_id", "full_outer")
+    asked = folded.join(named, "question_id", "left").join(count(mentions(folded, measures, False), "measure"), "question_id", "left")
     asked = asked.withColumn("_p", stated_periods(F.col("question"))).withColumn("_n", numbers_column("question"))
     explained = F.when(F.size("_p") == 1, digit_numbers(F.try_element_at("_p", F.lit(1)))).otherwise(F.array().cast("array<double>"))
     loose = F.size(F.array_except("_n", explained)) > 0

@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules of this folder that hold QUERIES and, where SQL can express them, ORACLE.
-MODULES = ("snapshot_queries", "ledger_queries", "retrieval_queries", "document_queries", "claim_queries", "stream_queries", "report_queries", "listing_queries")
+MODULES = ("snapshot_queries", "ledger_queries", "retrieval_queries", "document_queries", "claim_queries", "stream_queries", "report_queries", "listing_queries", "answer_queries")
 
 
 def collected() -> tuple[dict, dict]:
