@@ -138,7 +138,7 @@ def harvested_aliases(spark: SparkSession, folder: str) -> DataFrame:
     """Names that documents and paragraphs define for entities of the ledger."""
     d = table(spark, folder, "documents").select(F.concat_ws("/", F.lit("d"), "doc_id").alias("text_id"), "text")
     p = table(spark, folder, "docx_paragraphs").select(F.concat_ws("/", F.lit("p"), "document_version_id", "paragraph_index").alias("text_id"), "text").distinct()
-    return aliases.harvested_aliases(d.unionByName(p), registry_of(spark, folder))
+    return aliases.harvested_aliases(d.unionByName(p), durable(registry_of(spark, folder), "registry"))
 
 
 def prose_candidates(spark: SparkSession, folder: str) -> DataFrame:
@@ -146,7 +146,7 @@ def prose_candidates(spark: SparkSession, folder: str) -> DataFrame:
     m = table(spark, folder, "measure_defs")
     listed = measure_aliases(m).join(measure_units(m).select("slug", "unit"), "slug")
     f = table(spark, folder, "facts").where("extraction_method = 'llm'").select("fact_id", F.lit(1).alias("pass"), F.col("raw_text").alias("text"), F.col("raw_text").alias("quote"), "entity_quote", "metric", written_unit(F.col("unit")).alias("unit")).distinct()
-    return durable(aliases.prose_candidates(f, listed, registry_of(spark, folder)), "prose").groupBy("reason", "metric_slug").agg(F.count("*").alias("n"), F.countDistinct("entity_key").alias("n_entities"))
+    return durable(aliases.prose_candidates(f, listed, durable(registry_of(spark, folder), "registry")), "prose").groupBy("reason", "metric_slug").agg(F.count("*").alias("n"), F.countDistinct("entity_key").alias("n_entities"))
 
 
 QUERIES = {f.__name__: f for f in (unsupported_claims, supported_share, atom_verdicts, question_conflicts, sides_taken, answer_outcomes, ledger_values, ledger_answers, bulk_verdicts, attestation_bundles, harvested_aliases, prose_candidates)}
