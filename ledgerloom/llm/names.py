@@ -17,6 +17,7 @@ import math
 import re
 import unicodedata
 from functools import lru_cache
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -63,7 +64,8 @@ def bands_for(similarity: float, rows: int, recall: float) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - similarity**rows))
 
 
-#: One edit in a word of seven letters leaves a similarity of its padded bigrams of at least about one half.
+#: One letter replaced, lost or added leaves padded bigrams a similarity of one half in words of five letters, more in longer
+#: ones.  Two swapped neighbours leave less; they share their sorted letters, and a band of its own (see _bands).
 BANDS = bands_for(SIMILAR, ROWS, RECALL)
 
 
@@ -270,8 +272,10 @@ def _forms(names: pa.Array) -> pa.Array:
 def _bands(forms: pa.Array) -> pa.Array:
     out = []
     for text in forms.to_pylist():
-        s = signature(json.loads(text)[1])
-        out.append([(i * 784 + int(a)) * 784 + int(b) for i, (a, b) in enumerate(s)])
+        core = json.loads(text)[1]
+        # One band more for swapped neighbours, which share too few q-grams in a short word: the same letters in order.
+        swapped = BANDS * 784 * 784 + crc32("".join(sorted(core)).encode())
+        out.append([*((i * 784 + int(a)) * 784 + int(b) for i, (a, b) in enumerate(signature(core))), swapped])
     return pa.array(out, pa.list_(pa.int64()))
 
 
