@@ -4,7 +4,7 @@ Each token of a value is repaired: joined to the words of the reference list by
 repaired tokens are then compared with complete entries by soft TF-IDF, which weighs rare words more and repairs less the
 further they went.  Values whose best entry stays below the threshold mean none.
 
-The reference list is a dimension (checked bound) that travels to the tasks; values are mapped where they lie, without a
+The reference list is a dimension that travels to the tasks, in blocks of bounded size; values are mapped where they lie, without a
 shuffle, and a repeated value costs a dictionary look-up.
 """
 
@@ -25,7 +25,7 @@ from ledgerloom.catalog import require
 from ledgerloom.llm.edits import NearWords, abbreviates
 
 THRESHOLD = 0.74
-#: A reference list with more entries is refused: it would have to be joined, not sent along.
+#: Entries that are sent to the tasks at once; a longer list is mapped block by block, and the best entry of all blocks wins.
 MAX_ENTRIES = 20_000
 UNMATCHED = "unmatched"
 
@@ -104,16 +104,27 @@ def tokens_of(text: str) -> list[str]:
     return [w for w in _SPLIT.split(t) if w]
 
 
+def _phrases(wordings: dict[str, list[str]]) -> dict[tuple[str, tuple[str, ...]], list[str]]:
+    return {(k, tuple(sorted(words))): words for k, ws in wordings.items() for w in ws if w and (words := tokens_of(w))}
+
+
+def frequencies(wordings: dict[str, list[str]]) -> tuple[Counter, int]:
+    """In how many wordings each word stands, and how many wordings there are."""
+    phrases = _phrases(wordings)
+    return Counter(w for words in phrases.values() for w in set(words)), len(phrases)
+
+
 class Reference:
     """A reference list, ready to rank its entries for a value."""
 
-    def __init__(self, wordings: dict[str, list[str]]) -> None:
+    def __init__(self, wordings: dict[str, list[str]], frequency: Counter | None = None, n: int | None = None) -> None:
+        """``frequency`` and ``n``: in how many of how many wordings each word stands, where this is a block of a longer list."""
         self.exact = {w.strip().lower(): k for k, ws in sorted(wordings.items()) for w in ws if w and w.strip()}
-        phrases = {(k, tuple(sorted(tokens_of(w)))): tokens_of(w) for k, ws in wordings.items() for w in ws if w and tokens_of(w)}
-        self.phrases = [(k, words) for (k, _), words in sorted(phrases.items())]
-        frequency = Counter(w for _, words in self.phrases for w in set(words))
-        n = len(self.phrases)
-        self.idf = {w: math.log(1 + n / f) * (0.15 if w in LINKING else 1.0) for w, f in frequency.items()}
+        self.phrases = [(k, words) for (k, _), words in sorted(_phrases(wordings).items())]
+        frequency = frequency or frequencies(wordings)[0]
+        n = n or len(self.phrases)
+        own = {w for _, words in self.phrases for w in words}
+        self.idf = {w: math.log(1 + n / f) * (0.15 if w in LINKING else 1.0) for w, f in frequency.items() if w in own}
         self.rarest = math.log(1 + n)
         self.mass: dict[tuple[str, ...], float] = {}
         self.with_word: dict[str, list[int]] = defaultdict(list)
@@ -213,12 +224,9 @@ class Reference:
 
 
 def measure_wordings(measures: DataFrame, others: dict[str, tuple[str, ...]] = OTHER_WORDINGS) -> dict[str, list[str]]:
-    """Slug, label, aliases and other wordings of each measure (a dimension of at most MAX_ENTRIES rows, checked)."""
-    rows = measures.where("slug IS NOT NULL").select("slug", "label", "aliases").limit(MAX_ENTRIES + 1).collect()
-    if len(rows) > MAX_ENTRIES:
-        raise ValueError(f"more than {MAX_ENTRIES} entries: this is no dimension table")
+    """Slug, label, aliases and other wordings of each measure."""
     wordings: dict[str, list[str]] = {}
-    for r in rows:
+    for r in measures.where("slug IS NOT NULL").select("slug", "label", "aliases").toLocalIterator():
         wordings.setdefault(r.slug, []).extend([r.slug, r.label, *(r.aliases or []), *others.get(r.slug, ())])
     return {k: [w for w in ws if w] for k, ws in wordings.items()}
 
@@ -226,26 +234,33 @@ def measure_wordings(measures: DataFrame, others: dict[str, tuple[str, ...]] = O
 _MATCH = T.StructType([T.StructField("entry", T.StringType()), T.StructField("score", T.DoubleType())])
 
 
-def _mapper(wordings: dict[str, list[str]], threshold: float):
+def _mapper(wordings: dict[str, list[str]], threshold: float, frequency: Counter | None, n: int | None):
     built: list[Reference] = []  # once per worker
 
     @F.arrow_udf(_MATCH)
     def match(values: pa.Array) -> pa.Array:
         if not built:
-            built.append(Reference(wordings))
+            built.append(Reference(wordings, frequency, n))
         got = [built[0].map(v, threshold) if v and v.strip() else (None, None) for v in values.to_pylist()]
         return pa.StructArray.from_arrays([pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=["entry", "score"])
 
     return match
 
 
-def map_to_reference(values: DataFrame, column: str, wordings: dict[str, list[str]], threshold: float = THRESHOLD) -> DataFrame:
+def map_to_reference(values: DataFrame, column: str, wordings: dict[str, list[str]], threshold: float = THRESHOLD, block: int = MAX_ENTRIES) -> DataFrame:
     """Adds ``entry`` and ``score``.  Null and blank values get nulls; values that mean no entry get UNMATCHED.
 
-    Of equally good entries the one later by name is taken.  An empty reference list leaves every value unmatched.
+    Of equally good entries the one later by name is taken.  An empty reference list leaves every value unmatched.  A list of
+    more than ``block`` entries goes through the tasks block by block, with the word weights of the whole list.
     """
     require(values, column)
-    return values.withColumn("_m", _mapper(wordings, threshold)(F.col(column))).withColumn("entry", F.col("_m.entry")).withColumn("score", F.col("_m.score")).drop("_m")
+    names = sorted(wordings)
+    blocks = [{k: wordings[k] for k in names[i : i + block]} for i in range(0, len(names), block)] or [{}]
+    whole = frequencies(wordings) if len(blocks) > 1 else (None, None)
+    got = [_mapper(b, threshold, *whole)(F.col(column)) for b in blocks]
+    # An entry beats none; then the score decides, then the name.
+    ranked = F.array_max(F.array(*[F.struct((g["entry"] != UNMATCHED).alias("found"), g["score"].alias("score"), g["entry"].alias("entry")) for g in got])) if len(got) > 1 else got[0]
+    return values.withColumn("_m", ranked).withColumn("entry", F.col("_m.entry")).withColumn("score", F.col("_m.score")).drop("_m")
 
 
 def free_metrics(facts: DataFrame, measures: DataFrame) -> DataFrame:
@@ -255,5 +270,9 @@ def free_metrics(facts: DataFrame, measures: DataFrame) -> DataFrame:
     listed = measure_wordings(measures, {})
     stands = sorted({w.strip().lower() for ws in listed.values() for w in ws})
     value = F.lower(F.regexp_replace("metric", r"(?U)^\s+|\s+$", ""))
-    free = facts.select("fact_id", "metric").where((value != "") & ~value.isin(stands))
+    free = facts.select("fact_id", "metric", value.alias("_v")).where("_v <> ''")
+    if len(stands) <= 1000:
+        free = free.where(~F.col("_v").isin(stands))
+    else:
+        free = free.join(facts.sparkSession.createDataFrame([(w,) for w in stands], "_v string"), "_v", "left_anti")
     return map_to_reference(free, "metric", wordings).select("fact_id", F.col("entry").alias("slug")).distinct()

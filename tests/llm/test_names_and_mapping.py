@@ -1,11 +1,12 @@
 import itertools
+import json
 import random
 
 import pytest
 
 from ledgerloom.llm.edits import NearWords, abbreviates, osa
-from ledgerloom.llm.mapping import OTHER_WORDINGS, THRESHOLD, UNMATCHED, Reference, free_metrics
-from ledgerloom.llm.names import bands_for, form_of, link_names, linked_pairs, same_name, star_clusters
+from ledgerloom.llm.mapping import OTHER_WORDINGS, THRESHOLD, UNMATCHED, Reference, free_metrics, map_to_reference
+from ledgerloom.llm.names import _bands, bands_for, form_of, link_names, linked_pairs, same_name, star_clusters
 
 
 def test_near_words_equal_a_scan():
@@ -69,6 +70,22 @@ def test_mapping(value, entry):
     assert r.map(value, THRESHOLD)[0] == entry
 
 
+def test_a_long_list_is_mapped_in_blocks(spark):
+    wordings = {k: [*v, *OTHER_WORDINGS[k]] for k, v in REFERENCE.items()}
+    values = ["Gng-n Yield", "exit yiedl", "rendement de sortie", "market gossip", "O/S Loan Princ.", "yield", None, " "]
+    df = spark.createDataFrame(list(enumerate(values)), "n int, v string")
+    whole = {r.n: (r.entry, r.score) for r in map_to_reference(df, "v", wordings).collect()}
+    blocks = {r.n: (r.entry, r.score) for r in map_to_reference(df, "v", wordings, block=2).collect()}
+    assert {n: e for n, (e, _) in whole.items()} == {n: e for n, (e, _) in blocks.items()} and blocks[1] == whole[1] and blocks[6] == (None, None)
+
+
+def test_swapped_neighbours_share_a_band(spark):
+    cores = ["abcde", "abdce", "nebris", "nebrsi"]
+    df = spark.createDataFrame([(i, json.dumps(["n", c, [], 0, False])) for i, c in enumerate(cores)], "i int, f string")
+    bands = {r.i: set(r.b) for r in df.select("i", _bands("f").alias("b")).collect()}
+    assert bands[0] & bands[1] and bands[2] & bands[3] and not bands[0] & bands[2]
+
+
 def test_free_metrics(spark):
     m = spark.createDataFrame([(k, v[-1], v[:-1]) for k, v in REFERENCE.items()], "slug string, label string, aliases array<string>")
     f = spark.createDataFrame([("a", " ENTRY yield "), ("b", "entyr yield"), ("b", "entyr yield"), ("c", None), ("d", " "), ("e", "pigeons sighted")], "fact_id string, metric string").selectExpr("*", "'x' AS entry", "1 AS score")
