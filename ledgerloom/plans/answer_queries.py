@@ -12,6 +12,7 @@ from ledgerloom.operators import aliases, answers, support
 from ledgerloom.operators.ledger import ledger_facts, measure_aliases, measure_units, resolve_cells, stored_conflicts, written_unit
 from ledgerloom.operators.listing import refuse_missing
 from ledgerloom.plans.ledger_queries import _CELLS, _REGISTRY, registry_of
+from ledgerloom.plans.listing_queries import _Q
 from ledgerloom.plans.sql_parts import LEDGER_FACTS, STORED, fold
 from ledgerloom.storage import durable
 
@@ -146,6 +147,7 @@ def prose_candidates(spark: SparkSession, folder: str) -> DataFrame:
     m = table(spark, folder, "measure_defs")
     listed = measure_aliases(m).join(measure_units(m).select("slug", "unit"), "slug")
     f = table(spark, folder, "facts").where("extraction_method = 'llm'").select("fact_id", F.lit(1).alias("pass"), F.col("raw_text").alias("text"), F.col("raw_text").alias("quote"), "entity_quote", "metric", written_unit(F.col("unit")).alias("unit")).distinct()
+    f = durable(f, "candidates")  # a projection with Python functions must not be merged into the aggregation above
     return durable(aliases.prose_candidates(f, listed, durable(registry_of(spark, folder), "registry")), "prose").groupBy("reason", "metric_slug").agg(F.count("*").alias("n"), F.countDistinct("entity_key").alias("n_entities"))
 
 
@@ -191,7 +193,7 @@ h AS (SELECT *, sha256(versions || '|' || facts || '|' || measures || '|' || res
 SELECT a AS answer_id, n_versions, facts, measures, resolutions, content_hash, CASE WHEN a % 7 = 0 THEN sha256(a::VARCHAR) ELSE content_hash END AS first_hash FROM h""",
     "prose_candidates": f"""WITH {LEDGER_FACTS}, {_REGISTRY}, one AS (SELECT alias AS name, min(canonical_name) AS canonical_name FROM reg GROUP BY 1 HAVING count(DISTINCT canonical_name) = 1),
 c AS (SELECT DISTINCT fact_id, raw_text, entity_quote, metric, coalesce(unit_id, trim(unit)) AS unit FROM facts LEFT JOIN written ON form = lower(trim(unit)) WHERE extraction_method = 'llm'),
-q AS (SELECT *, trim(regexp_replace(translate(raw_text, '‘’‚‛“”„‟–—−', '''''''''""""---'), '[\\s\\x{{00a0}}\\x{{3000}}\\x{{202f}}\\x{{2009}}]+', ' ', 'g')) AS t, trim(regexp_replace(translate(entity_quote, '‘’‚‛“”„‟–—−', '''''''''""""---'), '[\\s\\x{{00a0}}\\x{{3000}}\\x{{202f}}\\x{{2009}}]+', ' ', 'g')) AS e FROM c),
+q AS (SELECT *, {_Q.format('raw_text')} AS t, {_Q.format('entity_quote')} AS e FROM c),
 j AS (SELECT q.*, a.slug, u.u.id AS listed, coalesce(o.canonical_name, {fold('entity_quote')}) AS entity_key FROM q LEFT JOIN aliases a ON lower(trim(q.metric)) = a.alias LEFT JOIN units u ON u.slug = a.slug AND u.u.id = q.unit LEFT JOIN one o ON o.name = {fold('entity_quote')}),
 k AS (SELECT CASE WHEN coalesce(t, '') = '' THEN 'quote-not-found' WHEN NOT coalesce(e <> '' AND contains(t, e), false) THEN 'entity-not-in-quote' WHEN slug IS NULL THEN 'metric-not-listed' WHEN listed IS NULL THEN 'unit-not-listed' END AS reason, slug AS metric_slug, entity_key FROM j)
 SELECT reason, metric_slug, count(*) AS n, count(DISTINCT entity_key) AS n_entities FROM k GROUP BY 1, 2""",

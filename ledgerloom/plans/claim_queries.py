@@ -18,6 +18,7 @@ from ledgerloom.operators.ledger import measure_aliases
 from ledgerloom.operators.questions import resolve_questions
 from ledgerloom.operators.retrieval import lexical_search
 from ledgerloom.operators.sheets import header_proposals, header_rows, region_of_cell, sheet_facts
+from ledgerloom.plans.retrieval_queries import quotes_in_documents
 from ledgerloom.sources.files import parse_files
 
 
@@ -31,9 +32,13 @@ def _best_documents(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def quote_locate(spark: SparkSession, folder: str) -> DataFrame:
-    """How the first sentence of each evaluation item stands in the two documents nearest to it by words."""
+    """How the first sentence of each evaluation item stands in documents: exactly in any of them, or nearly in the two that
+    are nearest to it by words.
+    """
+    exact = quotes_in_documents(spark, folder).select(F.col("item_id").alias("claim_id"), "doc_id", F.lit("exact").alias("kind"), F.lit(1.0).alias("similarity"))
     best = _best_documents(spark, folder).join(_first_sentence(spark, folder).select(F.col("item_id").alias("claim_id"), "statement"), "claim_id").join(table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
-    return best.withColumn("at", locate_quote_column("statement", "text")).select("claim_id", "doc_id", F.col("at.kind").alias("kind"), F.round("at.similarity", 4).alias("similarity"))
+    near = best.withColumn("at", locate_quote_column("statement", "text")).where("at.kind <> 'exact'")
+    return exact.unionByName(near.select("claim_id", "doc_id", F.col("at.kind").alias("kind"), F.round("at.similarity", 4).alias("similarity")))
 
 
 def quote_alignment(spark: SparkSession, folder: str) -> DataFrame:

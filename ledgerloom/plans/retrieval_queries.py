@@ -12,6 +12,7 @@ from ledgerloom.catalog import table
 from ledgerloom.functions.text import approx_tokens, digit_numbers, looks_injected, quote_fold
 from ledgerloom.operators.evaluation import applicable_rate, case_variance, compare_to_baseline, evaluate_bars, rate, ratio_of_sums, retrieval_quality
 from ledgerloom.operators.retrieval import candidate_limit, fuse_ranks, lexical_search, store_limit, vector_search
+from ledgerloom.sources.sinks import right_dimension
 from ledgerloom.storage import durable
 
 DIMENSION = 64
@@ -178,7 +179,23 @@ def eval_bars(spark: SparkSession, folder: str) -> DataFrame:
     return evaluate_bars(_metric_rows(spark, folder), bars)
 
 
-QUERIES = {f.__name__: f for f in (lexical_hits, vector_hits, hybrid_hits, search_page, token_counts, injection_screen, numeric_tokens, eval_retrieval, eval_metrics, eval_outcomes, eval_percentiles, eval_variance, eval_variance_summary, eval_spread, eval_baseline_gate, eval_bars)}
+def vector_dimensions(spark: SparkSession, folder: str) -> DataFrame:
+    """Vectors that fit the index's dimension, and that do not."""
+    v = table(spark, folder, "embeddings")
+    return v.groupBy(right_dimension(F.col("embedding"), DIMENSION).alias("fits"), F.size("embedding").alias("size")).agg(F.count("*").alias("n"))
+
+
+def quotes_in_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document in which the first sentence of an evaluation item stands word for word.
+
+    The sentences are a stated query set: one row with all of them meets every document, and nothing but finds leaves the map.
+    """
+    wanted = _items(spark, folder).where("expected <> ''").agg(F.collect_list(F.struct("query_id", "expected")).alias("asked"))
+    d = table(spark, folder, "documents").select("doc_id", quote_fold(F.col("text")).alias("folded")).crossJoin(F.broadcast(wanted))
+    return d.select("doc_id", F.explode_outer(F.filter("asked", lambda a: F.contains(F.col("folded"), a["expected"]))).alias("q")).where("q IS NOT NULL").select(F.col("q.query_id").alias("item_id"), "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (vector_dimensions, quotes_in_documents, lexical_hits, vector_hits, hybrid_hits, search_page, token_counts, injection_screen, numeric_tokens, eval_retrieval, eval_metrics, eval_outcomes, eval_percentiles, eval_variance, eval_variance_summary, eval_spread, eval_baseline_gate, eval_bars)}
 
 _W = r"list_filter(regexp_split_to_array(lower(coalesce({0}, '')), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '')"
 _BM25 = f"""
@@ -228,6 +245,8 @@ c AS (SELECT case_id, n_claims, count(*) AS k FROM runs GROUP BY 1, 2), mo AS (S
 _SCREEN = " OR ".join(f"regexp_matches(coalesce(text, ''), '{p}')" for p in (r"(?i)\b(?:ignore|disregard)\b(?:\s+\w+){0,3}?\s+(?:instructions?|the\s+above)\b", r"(?i)\byou\s+(?:must|are\s+to|will)\s+now\b", r"(?i)\byou\s+are\s+now\s+in\s+[\w-]+(?:[- ][\w-]+)*\s+mode\b", r"(?i)\bsystem\s+prompt\b", r"(?i)\b(?:export|send|email)\s+(?:the\s+)?(?:full\s+|complete\s+|entire\s+|underlying\s+)*(?:deal[- ]room|contents|documents?|database|system\s+prompt)\b"))
 
 ORACLE = {
+    "vector_dimensions": "SELECT len(embedding) = 64 AS fits, len(embedding) AS size, count(*) AS n FROM embeddings GROUP BY 1, 2",
+    "quotes_in_documents": f"WITH it AS (SELECT item_id, {_FQ.format("regexp_extract(text, '^(.*?[.])(?: [A-Z]|$)', 1)")} AS expected FROM eval_items), tx AS (SELECT doc_id, {_FQ.format('text')} AS folded FROM documents) SELECT item_id, doc_id FROM it, tx WHERE expected <> '' AND contains(folded, expected)",
     "lexical_hits": f"WITH {_BM25} SELECT query_id, item_id, round(score, 5) AS score, rank FROM lexr WHERE rank <= 10",
     "vector_hits": f"WITH s AS (SELECT q.vec_id AS query_id, v.vec_id AS item_id, {_COS} AS score FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM s) SELECT query_id, item_id, round(score, 6) AS score, rank FROM r WHERE rank <= 20",
     "hybrid_hits": _HYBRID + f"SELECT query_id, item_id, lexical_rank, vector_rank, score, rank FROM r WHERE rank <= {ANSWER_LIMIT}",

@@ -44,8 +44,10 @@ ORACLE = {
     "first_seen_stream": "SELECT DISTINCT user_id, event_type FROM events",
     "sliding_counts_stream": "WITH s AS (SELECT event_type, unnest(range(0, 8)) AS k, ts FROM events) SELECT time_bucket(INTERVAL 15 MINUTES, ts) - k * INTERVAL 15 MINUTES AS start, event_type, count(*) AS n FROM s GROUP BY 1, 2",
     "file_changes_stream": r"""
-WITH e AS (SELECT DISTINCT source_id, sweep_no, nfc_normalize(regexp_replace(regexp_replace(replace(path, '\', '/'), '/{2,}', '/', 'g'), '^(?:\./)*/?(?:\./)*', '')) AS path,
-  coalesce(regexp_replace(lower(trim(sha256)), '^(?:sha-?256:|0x)', ''), '') AS hash, withdrawn_at IS NOT NULL AS w FROM file_states WHERE delivery_no = 1),
+WITH counts AS (SELECT source_id, sweep_no, delivery_no, count(DISTINCT nfc_normalize(regexp_replace(regexp_replace(replace(path, '\', '/'), '/{2,}', '/', 'g'), '^(?:\./)*/?(?:\./)*', ''))) AS n FROM file_states WHERE trim(path) <> '' GROUP BY ALL),
+usable AS (SELECT s.source_id, s.sweep_no, max(s.delivery_no) AS delivery_no FROM source_sweeps s LEFT JOIN counts c USING (source_id, sweep_no, delivery_no) WHERE coalesce(c.n, 0) = s.file_count GROUP BY ALL),
+e AS (SELECT DISTINCT source_id, sweep_no, nfc_normalize(regexp_replace(regexp_replace(replace(path, '\', '/'), '/{2,}', '/', 'g'), '^(?:\./)*/?(?:\./)*', '')) AS path,
+  coalesce(regexp_replace(lower(trim(sha256)), '^(?:sha-?256:|0x)', ''), '') AS hash, withdrawn_at IS NOT NULL AS w FROM file_states JOIN usable USING (source_id, sweep_no, delivery_no) WHERE trim(path) <> ''),
 o AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY source_id, path, sweep_no ORDER BY hash) = 1),
 l AS (SELECT *, lag(w) OVER p AS w0, last_value(CASE WHEN NOT w THEN hash END IGNORE NULLS) OVER (PARTITION BY source_id, path ORDER BY sweep_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS h0 FROM o WINDOW p AS (PARTITION BY source_id, path ORDER BY sweep_no)),
 k AS (SELECT source_id, CASE WHEN NOT w AND coalesce(w0, true) THEN 'added' WHEN w AND NOT coalesce(w0, true) THEN 'removed' WHEN NOT w AND hash IS DISTINCT FROM h0 THEN 'changed' END AS change_kind FROM l)

@@ -6,12 +6,23 @@ and unlike an RDD checkpoint it is columnar, compressed and has statistics the o
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _FALLBACK: dict[str, str] = {}
+_OWN: set[str] = set()
+
+
+def _delete(jvm, folder: str) -> None:
+    """Deletes the application's stages at the end of the driver, if its JVM still answers."""
+    try:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(path, True)
+    except Exception:  # the JVM is gone: nothing can be done from here
+        pass
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -34,11 +45,15 @@ def shared_folder(spark: SparkSession) -> str:
 def durable(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` to the shared folder and return the table read back.
 
-    The folder belongs to the application (its id is part of the path); the cluster removes it with the application's
-    other checkpoints.  Column order, nullability aside, and types are kept; an empty frame stays empty with its schema.
+    The folder belongs to the application (its id is part of the path) and is deleted when the driver's process ends; a
+    driver that is killed leaves it to whoever cleans the checkpoint folder.  Column order, nullability aside, and types are kept; an empty frame stays empty with its schema.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/ledgerloom-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    own = f"{shared_folder(spark).rstrip('/')}/ledgerloom-{spark.sparkContext.applicationId}"
+    if own not in _OWN:
+        _OWN.add(own)
+        atexit.register(_delete, spark.sparkContext._jvm, own)
+    path = f"{own}/{name}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

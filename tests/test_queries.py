@@ -9,7 +9,10 @@ import pytest
 import __spark_entry__ as entry
 
 DATA = Path("/root/testdata/sf0.001")
-CHECKED = ("p1_found", "conflict_scan", "ledger_cells", "vector_hits", "withdrawn_files", "spend_stream")
+CHECKED = (
+    "p1_found", "conflict_scan", "ledger_cells", "vector_hits", "withdrawn_files", "spend_stream", "survivorship_proposals", "agreed_facts", "eval_retrieval", "eval_metrics", "eval_variance", "quotes_in_documents", "conflict_list", "located_values", "locator_overlaps",
+    "fenced_deliveries", "recorded_views", "inline_submissions", "question_conflicts", "answer_outcomes", "ledger_values", "attestation_bundles", "measure_proposals", "conflict_reconcile",
+)
 
 
 @pytest.mark.skipif(not DATA.exists(), reason="the test tables are not here")
