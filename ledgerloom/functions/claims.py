@@ -27,6 +27,7 @@ _DIGITS = re.compile(r"\$?\(\$?\d[\d,]*(?:\.\d+)?%?\)|\$?\d[\d,]*(?:\.\d+)?%?",
 _LETTERS = re.compile(r"[^\W\d_]+")
 _SPLIT = re.compile(r"[\W_]+")
 _SPACES = re.compile("[\\t\\n\\x0b\\f\\r \\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff]+")
+# Words that deny.
 _NEGATION = re.compile(r"\b(?:not|no|never|none|neither|nor|cannot)\b|\bwithout\b(?! +limitation\b)|\b\w*n't\b", re.ASCII)
 _QUOTES = str.maketrans("‘’‚‛“”„‟–—− ", "''''\"\"\"\"--- ")
 _UNSEGMENTED = ("CJK UNIFIED", "CJK COMPATIBILITY IDEOGRAPH", "HIRAGANA", "KATAKANA")

@@ -15,6 +15,7 @@ MONTH_OF = {name: i for i, names in enumerate(MONTHS, 1) for name in names.split
 _NAMES = "|".join(sorted(MONTH_OF, key=len, reverse=True))
 _ANY = f"(?i:({_NAMES}))"
 
+# The notations of periods.
 #: Patterns in order; groups: year, month (number or name), day, quarter, as named by the second item.
 NOTATIONS = (
     (r"\b(\d{4})-(\d{2})-(\d{2})\b", "ymd"),

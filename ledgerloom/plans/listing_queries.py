@@ -279,7 +279,7 @@ def _fact_verdicts(spark: SparkSession, folder: str) -> DataFrame:
     return f.join(c, "fact_id", "left").select("fact_id", "source_id", "unit", v.alias("verdict"))
 
 
-def verdicts_by_source(spark: SparkSession, folder: str) -> DataFrame:
+def verdict_breakdown(spark: SparkSession, folder: str) -> DataFrame:
     """Verdicts per source and the share that failed."""
     bad = F.count_if(F.col("verdict").isin("not_grounded", "no_evidence_retrieved"))
     return _fact_verdicts(spark, folder).groupBy("source_id").agg(*[F.count_if(F.col("verdict") == k).alias(k) for k in ("grounded", "conflicting_evidence", "not_grounded", "no_evidence_retrieved")], F.round(bad / F.count("*"), 6).alias("failure_rate"))
@@ -356,7 +356,7 @@ def citation_indexes(spark: SparkSession, folder: str) -> DataFrame:
     return j.select("case_id", "chunk_id", locators.citation_index(F.col("elements"), F.col("text")).alias("paragraph_index"))
 
 
-QUERIES = {f.__name__: f for f in (sources_selected, sources_declared, documents_without_text, facts_of_conflicts, facts_by_methods, cells_under_entity, documents_elsewhere, spend_within_ceiling, confirmed_facts, sources_sorted, paragraph_order, conflict_members_appended, metric_candidates, unknown_members, flattened_citations, flat_metric_rows, fact_lives, live_fact_hits, standing_documents, withdrawn_citations, version_or_fork, classes_applied, measure_proposals, measures_decided, measures_with_defaults, conflict_list, rulings_recorded, inline_submissions, fenced_deliveries, gate_outcomes, recorded_views, hourly_counters, value_renderings, filing_renderings, located_values, corpus_sizing, verdicts_by_source, experiment_summary, joined_verdicts, adjudication_sample, locator_overlaps, conflict_scope, citation_precision, citation_indexes)}
+QUERIES = {f.__name__: f for f in (sources_selected, sources_declared, documents_without_text, facts_of_conflicts, facts_by_methods, cells_under_entity, documents_elsewhere, spend_within_ceiling, confirmed_facts, sources_sorted, paragraph_order, conflict_members_appended, metric_candidates, unknown_members, flattened_citations, flat_metric_rows, fact_lives, live_fact_hits, standing_documents, withdrawn_citations, version_or_fork, classes_applied, measure_proposals, measures_decided, measures_with_defaults, conflict_list, rulings_recorded, inline_submissions, fenced_deliveries, gate_outcomes, recorded_views, hourly_counters, value_renderings, filing_renderings, located_values, corpus_sizing, verdict_breakdown, experiment_summary, joined_verdicts, adjudication_sample, locator_overlaps, conflict_scope, citation_precision, citation_indexes)}
 
 _VERSIONS = """
 gone AS (SELECT document_id, max(withdrawn_at) AS withdrawn_at FROM file_states GROUP BY 1),
@@ -457,7 +457,7 @@ n AS (SELECT resolution_id, count(*) AS n, min(fact_id) AS fact_id, min(text) AS
 SELECT v.resolution_id AS value_id, CASE WHEN n = 1 THEN fact_id END AS element_id, CASE WHEN n = 1 THEN text END AS text, CASE WHEN n = 1 THEN scale END AS scale, CASE WHEN n IS NULL THEN 'not-found' WHEN n > 1 THEN 'ambiguous' END AS reason
 FROM (SELECT DISTINCT resolution_id, measure, amount FROM forms) v LEFT JOIN n USING (resolution_id)""",
     "corpus_sizing": "WITH d AS (SELECT coalesce(source_kind, 'none') AS form, coalesce(source_class, 'none') AS role, ceil(length(text)::DOUBLE / 2000) AS c, ceil(length(text)::DOUBLE / 4) AS t FROM documents) SELECT form, role, count(*) AS n_documents, round(avg(c), 6) AS mean_chunks, round(avg(t), 6) AS mean_tokens, round(sum(c) * 0.018, 6) AS cost, round(sum(c) * (2.5 / 3600), 6) AS hours FROM d GROUP BY 1, 2",
-    "verdicts_by_source": _VERDICTS + "SELECT source_id, count(*) FILTER (verdict = 'grounded') AS grounded, count(*) FILTER (verdict = 'conflicting_evidence') AS conflicting_evidence, count(*) FILTER (verdict = 'not_grounded') AS not_grounded, count(*) FILTER (verdict = 'no_evidence_retrieved') AS no_evidence_retrieved, round((count(*) FILTER (verdict IN ('not_grounded', 'no_evidence_retrieved')))::DOUBLE / count(*), 6) AS failure_rate FROM v GROUP BY 1",
+    "verdict_breakdown": _VERDICTS + "SELECT source_id, count(*) FILTER (verdict = 'grounded') AS grounded, count(*) FILTER (verdict = 'conflicting_evidence') AS conflicting_evidence, count(*) FILTER (verdict = 'not_grounded') AS not_grounded, count(*) FILTER (verdict = 'no_evidence_retrieved') AS no_evidence_retrieved, round((count(*) FILTER (verdict IN ('not_grounded', 'no_evidence_retrieved')))::DOUBLE / count(*), 6) AS failure_rate FROM v GROUP BY 1",
     "experiment_summary": _VERDICTS + ", a AS (SELECT count(*) AS n, count(*) FILTER (verdict = 'grounded') AS grounded, count(*) FILTER (verdict = 'not_grounded') AS not_grounded, count(*) FILTER (verdict = 'no_evidence_retrieved') AS no_evidence_retrieved, count(*) FILTER (verdict = 'conflicting_evidence') AS conflicting_evidence, count(*) FILTER (verdict = 'not_grounded' AND coalesce(unit, '') IN ('', 'n/a', 'tbd')) AS correct FROM v) SELECT n, grounded, not_grounded, no_evidence_retrieved, conflicting_evidence, round((not_grounded + no_evidence_retrieved)::DOUBLE / n, 6) AS failure_rate, (not_grounded + no_evidence_retrieved)::DOUBLE / n >= 0.2 AS failures_met, not_grounded AS n_sampled, 0 AS n_open, correct, not_grounded - correct AS false, CASE WHEN not_grounded > 0 THEN round(correct::DOUBLE / not_grounded, 6) END AS catch_rate, CASE WHEN not_grounded > 0 THEN correct::DOUBLE / not_grounded >= 0.7 END AS catches_met FROM a",
     "joined_verdicts": "WITH s AS (SELECT item_id AS no, category AS v FROM eval_items WHERE item_id % 3 > 0 UNION ALL SELECT item_id, 'answerable' FROM eval_items WHERE item_id % 10 = 1 UNION ALL SELECT -item_id - 1, 'answerable' FROM eval_items WHERE item_id % 40 = 0), o AS (SELECT no, count(*) AS k, min(v) AS v FROM s GROUP BY 1), j AS (SELECT CASE WHEN e.item_id IS NULL THEN 'outside' WHEN k IS NULL THEN 'missing' WHEN k > 1 THEN 'duplicate' END AS fault, v FROM eval_items e FULL JOIN o ON o.no = e.item_id) SELECT CASE WHEN fault IS NULL THEN v END AS verdict, fault, count(*) AS n FROM j GROUP BY 1, 2",
     "locator_overlaps": _CHUNKS + "SELECT case_id, chunk_id FROM o",

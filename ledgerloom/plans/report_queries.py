@@ -53,14 +53,7 @@ def layout_signals(spark: SparkSession, folder: str) -> DataFrame:
     return page_layout(spark.createDataFrame(rows, "page int, line int, x double, width double, height double"))
 
 
-def verdict_breakdown(spark: SparkSession, folder: str) -> DataFrame:
-    """Verdicts per category and the share that failed."""
-    e = table(spark, folder, "eval_items").withColumn("v", F.col("item_id") % 10)
-    bad = F.count_if(F.col("v") >= 6)
-    return e.groupBy("category").agg(F.count_if(F.col("v") < 5).alias("grounded"), F.count_if(F.col("v") == 5).alias("conflicting"), bad.alias("not_grounded"), F.round(bad / F.count("*"), 6).alias("failure_rate"))
-
-
-QUERIES = {f.__name__: f for f in (selected_filings, rectangle_overlaps, answer_content, canaries, model_costs, replayed_requests, layout_signals, verdict_breakdown)}
+QUERIES = {f.__name__: f for f in (selected_filings, rectangle_overlaps, answer_content, canaries, model_costs, replayed_requests, layout_signals)}
 
 _QUOTE = r"regexp_extract(text, '^(.*?[.])(?: [A-Z]|$)', 1)"
 
@@ -72,5 +65,4 @@ ORACLE = {
     "model_costs": "WITH u AS (SELECT 'm' || (event_id % 3)::VARCHAR AS model, event_id % 1000 AS i, event_id % 70 AS o FROM events), p AS (SELECT * FROM (VALUES ('m0', 3.0::DOUBLE, 15.0::DOUBLE), ('m1', 0.25, 1.25)) t(model, a, b)) SELECT model, count(*) AS n_calls, round(sum((i * a + o * b) / 1000000), 6) AS cost FROM u LEFT JOIN p USING (model) GROUP BY 1",
     "replayed_requests": "WITH r AS (SELECT DISTINCT sha256(question) AS key FROM eval_items WHERE item_id % 4 <> 0) SELECT sha256(question) NOT IN (SELECT key FROM r) AS missing, count(*) AS n FROM eval_items GROUP BY 1",
     "layout_signals": "SELECT * FROM (VALUES (1, 4, true, false), (2, 0, false, true)) t(page, tabular_lines, table_heavy, multi_column)",
-    "verdict_breakdown": "SELECT category, count(*) FILTER (item_id % 10 < 5) AS grounded, count(*) FILTER (item_id % 10 = 5) AS conflicting, count(*) FILTER (item_id % 10 >= 6) AS not_grounded, round((count(*) FILTER (item_id % 10 >= 6))::DOUBLE / count(*), 6) AS failure_rate FROM eval_items GROUP BY 1",
 }
