@@ -7,7 +7,8 @@ words, with what tells namesakes apart (numbers, given names, roles) as hard con
 star clustering: the most used form is a centre, its neighbours are its satellites, and so on with what is left.
 
 Scale: every step is a join or aggregation on keys that spread inside a group (group, shape of the name, band).  Forms that
-share their shape with no other form are set aside before banding.  Nothing is gathered per group or on the driver.
+share their shape with no other form are set aside before banding.  Nothing is gathered per group or on the driver, and no
+side of a join that grows with the input is broadcast.
 """
 
 from __future__ import annotations
@@ -290,6 +291,12 @@ def _verified(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array([same_name(_parsed(x), _parsed(y)) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.bool_())
 
 
+def _merged(df: DataFrame) -> DataFrame:
+    """A side of a join that is sorted and merged.  Spark's size estimate leaves out what an explode multiplies and what
+    compresses well in Parquet, so that it would send rows to the driver, and from there to all, that don't fit there."""
+    return df.hint("merge")
+
+
 def star_clusters(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Star clustering of a weighted graph: node, centre.
 
@@ -300,24 +307,34 @@ def star_clusters(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """
     links = durable(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
     degrees = links.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("degree"))
-    ranked = durable(nodes.join(degrees, "node", "left"), "nodes")
+    ranked = durable(nodes.join(_merged(degrees), "node", "left"), "nodes")
     done = ranked.where("degree IS NULL").select("node", F.col("node").alias("centre"))
     left = ranked.where("degree IS NOT NULL").select("node", F.struct("degree", "weight", "node").alias("rank"))
     while not left.isEmpty():
         ranks = left.select(F.col("node").alias("b"), F.col("rank").alias("rank_b"))
-        open_links = links.join(left.withColumnRenamed("node", "a"), "a").join(ranks, "b")
-        top = left.join(open_links.groupBy("a").agg(F.max("rank_b").alias("rival")), left.node == F.col("a"), "left").select("node", "rank", "rival")
+        open_links = links.join(_merged(left.withColumnRenamed("node", "a")), "a").join(_merged(ranks), "b")
+        top = left.join(_merged(open_links.groupBy("a").agg(F.max("rank_b").alias("rival"))), left.node == F.col("a"), "left").select("node", "rank", "rival")
         centres = top.where("rival IS NULL OR rank > rival").select("node", "rank")
         taken = (
-            open_links.join(centres.select(F.col("node").alias("b")), "b", "left_semi").groupBy(F.col("a").alias("node")).agg(F.max("rank_b").alias("best"))
+            open_links.join(_merged(centres.select(F.col("node").alias("b"))), "b", "left_semi").groupBy(F.col("a").alias("node")).agg(F.max("rank_b").alias("best"))
             .select("node", F.col("best.node").alias("centre"))
         )
         found = durable(centres.select("node", F.col("node").alias("centre")).unionByName(taken), "stars")
         done = done.unionByName(found)
-        left = durable(left.join(found, "node", "left_anti"), "nodes")
+        left = durable(left.join(_merged(found), "node", "left_anti"), "nodes")
     return done
 
 
+def candidate_pairs(forms: DataFrame) -> DataFrame:
+    """Pairs of forms that meet in a block and a band, each once: a, b, fa, fb.  ``forms``: node, _g, _form, _shapes."""
+    shaped = forms.select("node", "_form", F.explode("_shapes").alias("_s"), "_g").select("node", "_form", F.xxhash64("_g", "_s").alias("block"))
+    crowded = shaped.groupBy("block").agg(F.count("*").alias("n")).where("n > 1").select("block")
+    banded = shaped.join(_merged(crowded), "block", "left_semi").select("node", "_form", "block", F.explode(_bands("_form")).alias("band"))
+    buckets = banded.select("node", "_form", F.xxhash64("block", "band").alias("bucket"))
+    a, b = buckets.select("bucket", F.col("node").alias("a"), F.col("_form").alias("fa")), buckets.select("bucket", F.col("node").alias("b"), F.col("_form").alias("fb"))
+    return a.join(_merged(b), "bucket").where("a < b").groupBy("a", "b").agg(F.first("fa").alias("fa"), F.first("fb").alias("fb"))
+
+
 def link_names(names: DataFrame, group: str, name: str) -> DataFrame:
     """Clusters of the spellings in each group: ``group``, ``name``, ``cluster``.
 
@@ -330,15 +347,10 @@ def link_names(names: DataFrame, group: str, name: str) -> DataFrame:
     spelled = used.withColumn("_f", _forms("_name")).where("_f.form IS NOT NULL").select("_g", "_name", "_uses", F.col("_f.form").alias("_form"), F.col("_f.shapes").alias("_shapes"))
     spelled = durable(spelled.withColumn("node", F.xxhash64("_g", "_form")), "spellings")
     forms = durable(spelled.groupBy("node", "_g", "_form").agg(F.sum("_uses").alias("weight"), F.first("_shapes").alias("_shapes")), "forms")
-    shaped = forms.select("node", "_form", F.explode("_shapes").alias("_s"), "_g").select("node", "_form", F.xxhash64("_g", "_s").alias("block"))
-    crowded = shaped.groupBy("block").agg(F.count("*").alias("n")).where("n > 1").select("block")
-    banded = shaped.join(crowded, "block", "left_semi").select("node", "_form", "block", F.explode(_bands("_form")).alias("band"))
-    buckets = banded.select("node", "_form", F.xxhash64("block", "band").alias("bucket"))
-    a, b = buckets.select("bucket", F.col("node").alias("a"), F.col("_form").alias("fa")), buckets.select("bucket", F.col("node").alias("b"), F.col("_form").alias("fb"))
-    pairs = a.join(b, "bucket").where("a < b").groupBy("a", "b").agg(F.first("fa").alias("fa"), F.first("fb").alias("fb"))
+    pairs = candidate_pairs(forms)
     edges = durable(pairs.where(_verified("fa", "fb")).select("a", "b"), "edges")
     stars = star_clusters(forms.select("node", "weight"), edges)
-    return spelled.join(stars, "node").select(F.col("_g").alias(group), F.col("_name").alias(name), F.col("centre").alias("cluster"))
+    return spelled.join(_merged(stars), "node").select(F.col("_g").alias(group), F.col("_name").alias(name), F.col("centre").alias("cluster"))
 
 
 def linked_pairs(facts: DataFrame) -> DataFrame:
@@ -347,4 +359,4 @@ def linked_pairs(facts: DataFrame) -> DataFrame:
     names = facts.select("source_id", F.explode(F.array("entity_quote", "entity")).alias("name"))
     linked = durable(link_names(names, "source_id", "name"), "linked")
     a, b = linked.withColumnRenamed("name", "name_a"), linked.withColumnRenamed("name", "name_b")
-    return a.join(b, ["source_id", "cluster"]).where("name_a < name_b").select("source_id", "name_a", "name_b")
+    return a.join(_merged(b), ["source_id", "cluster"]).where("name_a < name_b").select("source_id", "name_a", "name_b")

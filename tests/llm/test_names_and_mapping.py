@@ -6,7 +6,7 @@ import pytest
 
 from ledgerloom.llm.edits import NearWords, abbreviates, osa
 from ledgerloom.llm.mapping import OTHER_WORDINGS, THRESHOLD, UNMATCHED, Reference, free_metrics, map_to_reference
-from ledgerloom.llm.names import _bands, bands_for, form_of, link_names, linked_pairs, same_name, star_clusters
+from ledgerloom.llm.names import _bands, bands_for, candidate_pairs, form_of, link_names, linked_pairs, same_name, star_clusters
 
 
 def test_near_words_equal_a_scan():
@@ -49,6 +49,16 @@ def test_stars(spark):
     assert got[2] == got[3] == got[4] == 1 and got[5] == got[6] and got[7] == 7
 
 
+def test_no_join_of_names_is_broadcast(spark):
+    forms = spark.createDataFrame([(1, 1, '["n","abcdef",[],0,false]', ["n0"]), (2, 1, '["n","abcdeg",[],0,false]', ["n0"])], "node bigint, _g bigint, _form string, _shapes array<string>")
+    pairs = candidate_pairs(forms)
+    facts = spark.createDataFrame([(1, "Halvengate Plaza", "The Halvengate Plaza")], "source_id bigint, entity_quote string, entity string")
+    linked = linked_pairs(facts)
+    for df in (pairs, link_names(facts, "source_id", "entity"), linked):
+        assert df.count() and "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    assert [(r.a, r.b) for r in pairs.collect()] == [(1, 2)] and [tuple(r) for r in linked.collect()] == [(1, "Halvengate Plaza", "The Halvengate Plaza")]
+
+
 def test_linking(spark):
     rows = [(1, "Quelfimere Tower", "Qnuelfimere Tower"), (1, "Quelfimere Tower", "the  Quelfimere\xa0Tower"), (1, "Quelfimere Plaza", "n/a"), (2, "Quelfimere Twr.", None), (None, "Nebrisgate Tower", "Nebrisgate TOWER"), (1, "", "x" * 20_000)]
     f = spark.createDataFrame(rows, "source_id bigint, entity_quote string, entity string").selectExpr("*", "1 AS node", "2 AS weight")
